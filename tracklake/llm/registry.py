@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from tracklake.llm import quality_rules
+import public_tokenizers
+
+from tracklake.llm import bpe_automaton, quality_rules
 
 
 def _docs(spark, sf_dir):
@@ -13,5 +15,9 @@ def op2_quality_rules(spark, sf_dir):
     return quality_rules.quality_rules(_docs(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op2_quality_rules,)}
+def op6_bpe_automaton(spark, sf_dir):
+    return bpe_automaton.bpe_digests(_docs(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
+
+
+QUERIES = {f.__name__: f for f in (op2_quality_rules, op6_bpe_automaton)}
 ORACLE_SQL = {"op2_quality_rules": quality_rules.ORACLE_SQL}
