@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from tracklake.llm import bpe_automaton, quality_rules
+from tracklake.llm import bpe_automaton, quality_rules, retrieval_packing
 
 
 def _docs(spark, sf_dir):
@@ -19,5 +19,9 @@ def op6_bpe_automaton(spark, sf_dir):
     return bpe_automaton.bpe_digests(_docs(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op2_quality_rules, op6_bpe_automaton)}
+def op9_retrieval_packing(spark, sf_dir):
+    return retrieval_packing.packed(_docs(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+QUERIES = {f.__name__: f for f in (op2_quality_rules, op6_bpe_automaton, op9_retrieval_packing)}
 ORACLE_SQL = {"op2_quality_rules": quality_rules.ORACLE_SQL}
