@@ -9,10 +9,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Documents are cut into rows of at most so many bytes wherever blocks are built.
-WHITE = b" \t\n\x0b\x0c\r"
-
-
 def shared_dir(spark: SparkSession, purpose: str) -> str:
     """A fresh folder below ``spark.checkpoint.dir``, which every executor can reach.
 
@@ -32,12 +28,17 @@ def saved(df: DataFrame, purpose: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def map_rows(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], Iterator[dict] | dict]], schema: str) -> DataFrame:
-    """``mapInArrow`` over batches; ``make`` runs once in each task and returns what turns a batch into columns."""
-    from pyspark.sql.types import StructType
+def arrow_schema(ddl: str) -> pa.Schema:
+    """Made on the driver, as workers have no session to parse with."""
     from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
+
+    return to_arrow_schema(StructType.fromDDL(ddl), prefers_large_types=False)
+
 
-    arrow = to_arrow_schema(StructType.fromDDL(schema), prefers_large_types=False)
+def map_rows(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], Iterator[dict] | dict]], schema: str) -> DataFrame:
+    """``mapInArrow`` over batches; ``make`` runs once in each task and returns what turns a batch into columns."""
+    arrow = arrow_schema(schema)
 
     def run(batches):
         step = make()
