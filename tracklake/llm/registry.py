@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from tracklake.llm import bpe_automaton, fingerprints, language_id, quality_rules, retrieval_packing, warc
+from tracklake.llm import bpe_automaton, fingerprints, language_id, quality_rules, retrieval_packing, suffix_arrays, suffix_trees, warc
 
 
 def _docs(spark, sf_dir):
@@ -19,6 +19,10 @@ def op6_bpe_automaton(spark, sf_dir):
     return bpe_automaton.bpe_digests(_docs(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op3_suffix_arrays(spark, sf_dir):
+    return suffix_arrays.substring_digests(_docs(spark, sf_dir))
+
+
 def op4_language_id(spark, sf_dir):
     return language_id.language_id(_docs(spark, sf_dir))
 
@@ -32,9 +36,13 @@ def op7_warc(spark, sf_dir):
     return out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op8_suffix_trees(spark, sf_dir):
+    return suffix_trees.passage_digests(_docs(spark, sf_dir))
+
+
 def op9_retrieval_packing(spark, sf_dir):
     return retrieval_packing.packed(_docs(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op2_quality_rules, op4_language_id, op5_fingerprints, op6_bpe_automaton, op7_warc, op9_retrieval_packing)}
+QUERIES = {f.__name__: f for f in (op2_quality_rules, op3_suffix_arrays, op4_language_id, op5_fingerprints, op6_bpe_automaton, op7_warc, op8_suffix_trees, op9_retrieval_packing)}
 ORACLE_SQL = {"op2_quality_rules": quality_rules.ORACLE_SQL, "op7_warc": warc.ORACLE_SQL}
