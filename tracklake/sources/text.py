@@ -27,7 +27,7 @@ def bed(spark: SparkSession, path: str, strict: bool = False) -> DataFrame:
     rows = _fields(spark, path).where("line <> '' AND NOT line LIKE '#%'").select(F.monotonically_increasing_id().alias("region_id"), F.get("f", F.lit(0)).alias("chrom"), _long(1).alias("begin"), _long(2).alias("end"), "line")
     bad = F.col("begin").isNull() | F.col("end").isNull()
     if strict:
-        rows = rows.withColumn("begin", F.when(bad, F.raise_error(F.concat(F.lit("not a region: "), "line"))).otherwise(F.col("begin")))
+        return rows.withColumn("begin", F.when(bad, F.raise_error(F.concat(F.lit("not a region: "), F.col("line"))).cast("long")).otherwise(F.col("begin"))).drop("line")
     return rows.where(~bad).drop("line")
 
 
