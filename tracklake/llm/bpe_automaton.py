@@ -63,7 +63,11 @@ class Automaton:
             self.cut.setdefault((u, v), i)
             self.gadget.setdefault(u + v, i)
             self.halves.setdefault(u + v, (u, v))
-        bare = [(t[: -len(end)], True) if end and t.endswith(end) and t != end else (t, False) for t in vocab]
+        dead: set[str] = set()  # made by a gadget whose arcs had been cut before, so no path has them
+        for i, (u, v) in enumerate(merges):
+            if self.gadget[u + v] == i and (u in dead or v in dead or not self._replay(u, v, i)):
+                dead.add(u + v)
+        bare = [(t[: -len(end)], True) if end and t.endswith(end) and t != end else (t, False) for t in vocab if t not in dead]
         self.inner = {t for t, last in bare if not last}
         self.last = {t for t, last in bare if last} if end else self.inner
         self.prefixes = {t[:k] for t, _ in bare for k in range(1, len(t) + 1)}
@@ -79,8 +83,9 @@ class Automaton:
             known = self.table[key] = self._replay(state, token)
         return known
 
-    def _replay(self, state: str, token: str) -> bool:
-        until, gadget = FOREVER, self.gadget
+    def _replay(self, state: str, token: str, until: int = FOREVER) -> bool:
+        """Whether the arc is there just before gadget ``until``."""
+        gadget = self.gadget
         while True:
             if self.cut.get((state, token), FOREVER) < until:
                 return False
@@ -97,10 +102,6 @@ class Automaton:
         n, prefixes, inner, last, end, arc = len(word), self.prefixes, self.inner, self.last, self.end, self.arc
         if not n:
             return []
-        if word in last:  # one arc from the start to the end, if no gadget cut it apart
-            whole = word + end
-            if whole in self.gadget or n == 1:
-                return [whole]
         path, ends, dead = [], [], set()  # arcs taken and where they end; positions that lead nowhere
         i, most, at = 0, n, ""
         table = self.table

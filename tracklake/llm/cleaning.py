@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracklake.llm import language_id, line_dedup, minhash, suffix_trees
-from tracklake.llm.common import saved
+from tracklake.llm.common import saved, slices
 from tracklake.llm.passages import covered, repeated
 
 UID = "_row_uid"
@@ -35,7 +35,7 @@ def rewritten(docs: DataFrame, runs: DataFrame, edit: Callable[[bytes, list], by
     text_at = columns.index("text")
 
     def run(batches):
-        for b in batches:
+        for b in (x for whole in batches for x in slices(whole)):
             texts, lists = b.column("text").to_pylist(), b.column("runs").to_pylist()
             new = [t if not r else edit(t.encode(), r).decode() for t, r in zip(texts, lists)]
             keep = pa.array([not r or bool(t.strip()) for t, r in zip(new, lists)])
@@ -56,7 +56,7 @@ def with_language(docs: DataFrame, least_score: float) -> DataFrame:
 
     def run(batches):
         read = net.reader() if net else None
-        for b in batches:
+        for b in (x for whole in batches for x in slices(whole)):
             texts = b.column("text").to_pylist()
             some = [i for i, t in enumerate(texts) if read and t and any(c.isalpha() for c in t)]
             keep = np.zeros(len(texts), dtype=bool)

@@ -36,14 +36,20 @@ def arrow_schema(ddl: str) -> pa.Schema:
     return to_arrow_schema(StructType.fromDDL(ddl), prefers_large_types=False)
 
 
+def slices(batch: pa.RecordBatch, rows: int = 1024):
+    """Parts of a batch, so that a task holds few texts as Python objects at a time."""
+    for at in range(0, batch.num_rows, rows):
+        yield batch.slice(at, rows)
+
+
 def map_rows(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], Iterator[dict] | dict]], schema: str) -> DataFrame:
     """``mapInArrow`` over batches; ``make`` runs once in each task and returns what turns a batch into columns."""
     arrow = arrow_schema(schema)
 
     def run(batches):
         step = make()
-        for b in batches:
-            if b.num_rows:
+        for whole in batches:
+            for b in slices(whole):
                 out = step(b)
                 for cols in [out] if isinstance(out, dict) else out:
                     yield pa.RecordBatch.from_arrays([pa.array(cols[f.name], type=f.type) if not isinstance(cols[f.name], (pa.Array, pa.ChunkedArray)) else cols[f.name].cast(f.type) for f in arrow], schema=arrow)

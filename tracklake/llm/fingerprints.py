@@ -5,8 +5,8 @@ stretches of over ``LONGEST`` words without any are cut every ``LONGEST`` words.
 paragraph's digest (with its number among equal ones) goes into one cell of each
 of three tables; a cell keeps a count and the XOR of digests and of their checks.
 Sketches of two versions subtract cell by cell; peeling cells that hold a single
-digest recovers the digests on either side. If peeling stops early, both
-sketches are built anew, four times larger.
+digest recovers the digests on either side. If peeling stops early, the
+sketches are built anew with room for all digests, and doubled after each failure.
 
 The likeness of two texts is that of their digest multisets, common over all,
 from the number of recovered digests.
@@ -80,18 +80,23 @@ class Sketch:
         self.put(keys, np.ones(len(keys), dtype=np.int64))
 
     @staticmethod
-    def check(keys: np.ndarray) -> np.ndarray:
-        return mixed(keys, MIX) >> np.uint64(32)
+    def check(mix: np.ndarray) -> np.ndarray:
+        return (mix * MIX) >> np.uint64(32)
 
-    def put(self, keys: np.ndarray, sign: np.ndarray) -> None:
+    def put(self, keys: np.ndarray, sign: np.ndarray, mix: np.ndarray | None = None) -> None:
         """Add ``keys`` with their signs; XOR undoes itself, so taking away is the same."""
         if not len(keys):
             return
-        size = 1 << self.power
-        cells = np.concatenate([(mixed(keys, s) & np.uint64(size - 1)).astype(np.int64) + k * size for k, s in enumerate(SALTS)])
-        np.add.at(self.count, cells, np.tile(sign, 3))
-        np.bitwise_xor.at(self.keys, cells, np.tile(keys, 3))
-        np.bitwise_xor.at(self.checks, cells, np.tile(self.check(keys), 3))
+        mix = mixed(keys, SALTS[0]) if mix is None else mix
+        size, mask = 1 << self.power, np.uint64((1 << self.power) - 1)
+        if self.power <= 21:
+            cells = np.concatenate((mix & mask, ((mix >> np.uint64(21)) & mask) + np.uint64(size), ((mix >> np.uint64(42)) & mask) + np.uint64(2 * size))).astype(np.int64)
+        else:
+            cells = np.concatenate([(mixed(mix, s) & mask).astype(np.int64) + k * size for k, s in enumerate(SALTS)])
+        np.add.at(self.count, cells, np.concatenate((sign, sign, sign)))
+        np.bitwise_xor.at(self.keys, cells, np.concatenate((keys, keys, keys)))
+        check = self.check(mix)
+        np.bitwise_xor.at(self.checks, cells, np.concatenate((check, check, check)))
 
     def minus(self, other: Sketch) -> Sketch:
         out = Sketch(self.keys[:0], self.power)
@@ -102,16 +107,24 @@ class Sketch:
         """Digests of the left and of the right alone, or None if some can't be told apart."""
         found: list[np.ndarray] = []
         signs: list[np.ndarray] = []
-        while True:
-            pure = np.flatnonzero(np.abs(self.count) == 1)
-            pure = pure[self.check(self.keys[pure]) == self.checks[pure]]
-            if not len(pure):
-                break
-            keys, first = np.unique(self.keys[pure], return_index=True)
-            sign = self.count[pure[first]]
-            found.append(keys)
-            signs.append(sign)
-            self.put(keys, -sign)
+        size, idle, table = 1 << self.power, 0, 0
+        while idle < 3:  # a digest is in one cell of each table, so a table's single ones are distinct
+            part = slice(table * size, (table + 1) * size)
+            count = self.count[part]
+            pure = np.flatnonzero((count == 1) | (count == -1))
+            if len(pure):
+                keys = self.keys[part][pure]
+                mix = mixed(keys, SALTS[0])
+                ok = self.check(mix) == self.checks[part][pure]
+                keys, mix, sign = keys[ok], mix[ok], count[pure[ok]]
+            if len(pure) and len(keys):
+                found.append(keys)
+                signs.append(sign)
+                self.put(keys, -sign, mix)
+                idle = 0
+            else:
+                idle += 1
+            table = (table + 1) % 3
         if self.count.any() or self.keys.any():
             return None
         k, s = (np.concatenate(found), np.concatenate(signs)) if found else (self.keys[:0], self.count[:0])
@@ -121,23 +134,29 @@ class Sketch:
         return base64.b85encode(n.to_bytes(4, "little") + np.clip(self.count, -(1 << 15), (1 << 15) - 1).astype("<i2").tobytes() + self.keys.astype("<u8").tobytes() + self.checks.astype("<u4").tobytes()).decode()
 
 
-def difference(a: np.ndarray, b: np.ndarray, power: int = 2) -> tuple[np.ndarray, np.ndarray]:
-    """Digests in ``a`` alone and in ``b`` alone, by subtracting and peeling, larger after each failure."""
-    while 3 << power < abs(len(a) - len(b)):  # at least so many differ
+def difference(a: np.ndarray, b: np.ndarray, small: Sketch | None = None, power: int = 2) -> tuple[np.ndarray, np.ndarray]:
+    """Digests in ``a`` alone and in ``b`` alone, by subtracting and peeling, larger after each failure.
+
+    ``small`` is the difference of small sketches, if there is one already. Sketches are linear, so a
+    retry sums both sides into one. The first retry has room for all digests of
+    both sides, which nearly always does; each later one doubles.
+    """
+    got = small.peel() if small is not None else None
+    while 2 << power < len(a) + len(b):
         power += 1
-    while True:
-        got = Sketch(a, power).minus(Sketch(b, power)).peel()
-        if got is not None:
-            return got
-        power += 2
+    while got is None:
+        s = Sketch(a, power)
+        s.put(b, np.full(len(b), -1, dtype=np.int64))
+        got, power = s.peel(), power + 1
         if power > 40:
             raise ValueError("the sketches can't be told apart")
+    return got
 
 
-def likeness(a: np.ndarray, b: np.ndarray) -> float:
+def likeness(a: np.ndarray, b: np.ndarray, small: Sketch | None = None) -> float:
     if not len(a) and not len(b):
         return 1.0
-    d = sum(map(len, difference(a, b)))
+    d = sum(map(len, difference(a, b, small)))
     return (len(a) + len(b) - d) / (len(a) + len(b) + d)
 
 
@@ -203,12 +222,14 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 if tail and (held is None or held[0] != bucket):
                     continue
                 keys = digests(text)
+                small = Sketch(keys, 2)
                 if held is not None and held[0] == bucket:
-                    _, held_id, own, own_keys = held
+                    _, held_id, own, own_keys, own_small = held
                     new = edited(own, text)
                     new_keys = digests(new)
-                    out.append((held_id, len(own), hashlib.sha256(new.encode()).hexdigest(), fingerprint(own_keys), fingerprint(new_keys), likeness(own_keys, new_keys), likeness(own_keys, keys)))
-                held = None if tail else (bucket, doc_id, text, keys)
+                    new_small = Sketch(new_keys, 2)
+                    out.append((held_id, len(own), hashlib.sha256(new.encode()).hexdigest(), own_small.text(len(own_keys)), new_small.text(len(new_keys)), likeness(own_keys, new_keys, own_small.minus(new_small)), likeness(own_keys, keys, own_small.minus(small))))
+                held = None if tail else (bucket, doc_id, text, keys, small)
             if out:
                 cols = list(zip(*out))
                 yield pa.RecordBatch.from_arrays([pa.array(c) if c[0] is not None else pa.array(c, type=pa.int64()) for c in cols], names=names)

@@ -28,7 +28,7 @@ from tracklake.llm.common import map_rows
 
 SEGMENT, HIDDEN, SNIPPET, PAD = 64, 8, 1500, 256
 SCHEMA = "doc_id long, held_out boolean, lang_pred string, score double"
-GROUP = 4096
+GROUP, CHUNK = 4096, 1 << 20
 
 
 def sigmoid(x):
@@ -186,11 +186,16 @@ def cut(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def probabilities(read, texts: list[bytes], n_labels: int) -> np.ndarray:
-    """Mean distribution of each text's positions."""
-    segments, owner = cut(texts)
+    """Mean distribution of each text's positions; about ``CHUNK`` bytes of texts are laid out at a time."""
     total = np.zeros((len(texts), n_labels))
-    for i in range(0, len(segments), GROUP):
-        np.add.at(total, owner[i : i + GROUP], read(segments[i : i + GROUP]))
+    at, size = 0, 0
+    for i, t in enumerate(texts):
+        size += len(t)
+        if size >= CHUNK or i + 1 == len(texts):
+            segments, owner = cut(texts[at : i + 1])
+            for k in range(0, len(segments), GROUP):
+                np.add.at(total, at + owner[k : k + GROUP], read(segments[k : k + GROUP]))
+            at, size = i + 1, 0
     return total / np.maximum(1, [len(t) for t in texts])[:, None]
 
 

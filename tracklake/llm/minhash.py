@@ -9,9 +9,12 @@ likeness 0.8 is missed three times in a million.
 Documents of equal sets become one *class* first. Candidates are then compared
 with full sets, without ever listing a bucket's pairs: each bucket's members are
 compared with its pivot, connected components are taken, and buckets that
-still hold several components choose another pivot. What is then left apart is
-compared across components, all of it. A link is left out only where its ends are
-known to be connected.
+still hold several components choose another pivot. The members of buckets that are
+then still apart are compared across components where they can be alike at all:
+with shingles in an order from rare to common, alike sets share one so early
+in both that what follows suffices for the needed overlap (prefix and positional
+filters, which lose no link). A link is left out only where its ends are known
+to be connected.
 
 Defined cases: null and empty texts have the empty set and are linked with nothing;
 repeated rows are classes of several; where ids are null or repeat, rows are
@@ -23,7 +26,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracklake.llm.common import arrow_schema, saved, texts
@@ -134,6 +137,36 @@ def confirmed(pairs: DataFrame, sets: DataFrame, shingle: int, percent: int) ->
     return rows.repartition("p", "g").sortWithinPartitions("p", "g", "kind").select("uid", "p", "g", "kind", "text").mapInArrow(run, "p long, x long")
 
 
+def early_pairs(left: DataFrame, text: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """Pairs ``(p, x)`` of different labels among the documents of ``left`` that can be alike.
+
+    Two sets with ``100 * common >= percent * union`` have ``(100 + percent) * common
+    >= percent * (n + m)``. In any order of shingles, the first common one, at places
+    i and j, leaves at most ``min(n - i, m - j)`` others. The order here puts shingles of one
+    document first, so documents with enough text of their own have no pair at all,
+    however common the rest of it is.
+    """
+    docs = left.select("uid", "label", "n").distinct().join(text, "uid")
+    ddl = "uid long, label long, n int, token long"
+    schema = arrow_schema(ddl)
+
+    def run(batches):
+        for b in batches:
+            for data, (ids, labels, ns) in chunks(b, "uid", "label", "n"):
+                h, sizes = shingle_sets(data, shingle)
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array(c, dtype=t), sizes)) for c, t in ((ids, np.int64), (labels, np.int64), (ns, np.int32))] + [signed(h)], schema=schema)
+
+    tokens = docs.select("uid", "label", "n", "text").mapInArrow(run, ddl)
+    common = tokens.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
+    own = Window.partitionBy("uid")
+    placed = tokens.join(common, "token").withColumn("place", F.col("n") - F.count("*").over(own) + F.row_number().over(own.orderBy("df", "token")))
+    # a partner has at most n * 100 / percent shingles; even with the smallest, the overlap must still be within reach
+    early = saved(placed.where(f"100 * (n - place + 1) >= {percent} * n").select("uid", "label", "n", "place", "token"), "early")
+    other = early.select("token", F.col("uid").alias("p"), F.col("n").alias("m"), F.col("label").alias("other"), F.col("place").alias("at"))
+    near = early.join(other, "token").where("label <> other AND p < uid").where(f"100 * least(n, m) >= {percent} * greatest(n, m) AND {100 + percent} * (least(n - place, m - at) + 1) >= {percent} * (n + m)")
+    return near.select("p", F.col("uid").alias("x")).distinct()
+
+
 def labelled(docs: DataFrame, shingle: int, percent: int, bands: int, rows: int) -> DataFrame:
     """``(uid, n, label)`` of every document; a null label where it is alone in its class and component."""
     spark = docs.sparkSession
@@ -162,8 +195,7 @@ def labelled(docs: DataFrame, shingle: int, percent: int, bands: int, rows: int)
             pivot = left.groupBy("key").agg(F.min(F.struct(F.xxhash64("uid", F.lit(turn)).alias("o"), F.col("uid").alias("p"), F.col("n").alias("m"), F.col("label").alias("other"))).alias("s")).select("key", "s.p", "s.m", "s.other")
             pairs = left.join(pivot, "key").where(like).select("p", F.col("uid").alias("x")).distinct()
         else:
-            again = left.select("key", F.col("uid").alias("p"), F.col("n").alias("m"), F.col("label").alias("other"))
-            pairs = left.join(again, "key").where(like).where("p < uid").select("p", F.col("uid").alias("x")).distinct()
+            pairs = early_pairs(left, text, shingle, percent)
         new = saved(confirmed(saved(pairs, "pairs"), text, shingle, percent).select(F.col("p").alias("a"), F.col("x").alias("b")), "links")
         links = new if links is None else links.unionByName(new)
         if not new.isEmpty() or labels is None:

@@ -7,7 +7,7 @@
    one span of each kind is fetched with its text, and the spans of an anchor
    are compared in memory (``resolve``, which the operators bring along), a
    shard of anchors at a time.
-3. An anchor with more than ``HOT`` kinds of spans is not gathered in one place:
+3. An anchor with more than ``most_kinds`` kinds of spans is not gathered in one place:
    its windows are counted by digest, by partial aggregates, and looked up again by a
    join that Spark can split.
 
@@ -25,12 +25,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracklake.llm.common import arrow_schema, saved
+from tracklake.llm.common import arrow_schema, saved, slices
 from tracklake.llm.repeats import BYTES, Hashes, mix, spans, word_hashes, words_of
 
-#: Kinds of spans of an anchor that are compared in memory.
+#: Kinds of spans of an anchor that are compared in memory; a span is a few hundred bytes.
 HOT = 128
 CHUNK = 2 << 20
+#: Bytes of spans that a task resolves together.
 SHARD = 4 << 20
 
 
@@ -76,26 +77,28 @@ class Symbols:
 
 def chunks(batch: pa.RecordBatch, *cols: str) -> Iterator[tuple[list[bytes], list[list]]]:
     """A batch's texts as bytes, with other columns, in pieces of about ``CHUNK`` bytes."""
-    texts = [(t or "").encode() for t in batch.column("text").to_pylist()]
-    rest = [batch.column(c).to_pylist() for c in cols]
-    at, size = 0, 0
-    for i, t in enumerate(texts):
-        size += len(t)
-        if size >= CHUNK or i + 1 == len(texts):
-            yield texts[at : i + 1], [c[at : i + 1] for c in rest]
-            at, size = i + 1, 0
+    for part in slices(batch):
+        texts = [(t or "").encode() for t in part.column("text").to_pylist()]
+        rest = [part.column(c).to_pylist() for c in cols]
+        at, size = 0, 0
+        for i, t in enumerate(texts):
+            size += len(t)
+            if size >= CHUNK or i + 1 == len(texts):
+                yield texts[at : i + 1], [c[at : i + 1] for c in rest]
+                at, size = i + 1, 0
 
 
 def signed(x: np.ndarray) -> pa.Array:
     return pa.array(x.astype(np.uint64).view(np.int64))
 
 
-def repeated(docs: DataFrame, window: int, k: int, words: bool, resolve: Callable) -> DataFrame:
+def repeated(docs: DataFrame, window: int, k: int, words: bool, resolve: Callable, most_kinds: int | None = None, shard_bytes: int = SHARD) -> DataFrame:
     """``(uid, runs)``: flat first and last starts, in no order, of windows that occur more than once.
 
     ``docs`` has ``uid`` (unique) and ``text``. ``resolve(contents, owned, twice,
     window)`` tells, for each content, which of its first ``owned`` windows occur
     twice or more among all of them; ``twice`` contents stand for several equal ones.
+    ``most_kinds`` (``HOT``) and ``shard_bytes`` bound what it gets at once.
     """
     spark = docs.sparkSession
     docs = docs.select("uid", "text")
@@ -115,10 +118,10 @@ def repeated(docs: DataFrame, window: int, k: int, words: bool, resolve: Callabl
     del found, kinds
     release(spark)
 
-    contents = saved(fetched(docs, shared.where("multi"), window, words), "contents")
+    contents = saved(fetched(docs, shared.where("multi"), window, words, most_kinds or HOT), "contents")
     release(spark)
     cold = contents.where("NOT hot").repartition("h").sortWithinPartitions("h")
-    alike = saved(cold.mapInArrow(in_shards(resolve, window), "h long, s long, runs array<int>").unionByName(by_digest(contents.where("hot"), window, words)), "alike")
+    alike = saved(cold.mapInArrow(in_shards(resolve, window, shard_bytes), "h long, s long, runs array<int>").unionByName(by_digest(contents.where("hot"), window, words)), "alike")
     release(spark)
 
     whole = shared.where("NOT multi").select("uid", F.array("lo", "hi").alias("runs"))
@@ -126,10 +129,10 @@ def repeated(docs: DataFrame, window: int, k: int, words: bool, resolve: Callabl
     return whole.unionByName(part).groupBy("uid").agg(F.flatten(F.collect_list("runs")).alias("runs"))
 
 
-def fetched(docs: DataFrame, shared: DataFrame, window: int, words: bool) -> DataFrame:
+def fetched(docs: DataFrame, shared: DataFrame, window: int, words: bool, most_kinds: int) -> DataFrame:
     """One span of each kind with its symbols."""
     kinds = shared.groupBy("h", "s").agg(F.min(F.struct("uid", "lo", "hi")).alias("one"), (F.count("*") > 1).alias("twice"))
-    many = kinds.groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") > HOT).select("h", F.lit(True).alias("hot"))
+    many = kinds.groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") > most_kinds).select("h", F.lit(True).alias("hot"))
     kinds = kinds.join(many, "h", "left").select("one.uid", F.struct("h", "s", "one.lo", "one.hi", "twice", F.coalesce("hot", F.lit(False)).alias("hot")).alias("span"))
     wanted = kinds.groupBy("uid").agg(F.collect_list("span").alias("spans"))
     schema = arrow_schema("h long, s long, twice boolean, hot boolean, owned int, content binary")
@@ -144,7 +147,7 @@ def fetched(docs: DataFrame, shared: DataFrame, window: int, words: bool) -> Dat
     return docs.join(wanted, "uid").select("text", "spans").mapInArrow(take, "h long, s long, twice boolean, hot boolean, owned int, content binary")
 
 
-def in_shards(resolve: Callable, window: int):
+def in_shards(resolve: Callable, window: int, shard_bytes: int):
     """Spans sorted by anchor, gathered to shards that hold all spans of their anchors."""
     schema = arrow_schema("h long, s long, runs array<int>")
 
@@ -159,7 +162,7 @@ def in_shards(resolve: Callable, window: int):
 
         for b in batches:
             for row in zip(*(b.column(c).to_pylist() for c in ("h", "s", "twice", "owned", "content"))):
-                if size >= SHARD and row[0] != rows[-1][0]:
+                if size >= shard_bytes and row[0] != rows[-1][0]:
                     yield from shard()
                     rows, size = [], 0
                 rows.append(row)
@@ -207,7 +210,7 @@ def finished(docs: DataFrame, runs: DataFrame, finish: Callable, out_schema: str
     schema = arrow_schema(out_schema)
 
     def run(batches):
-        for b in batches:
+        for b in (x for whole in batches for x in slices(whole)):
             rows = [(i, *finish((t or "").encode(), r)) for i, t, r in zip(*(b.column(c).to_pylist() for c in ("doc_id", "text", "runs")))]
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), schema.types)], schema=schema)

@@ -30,11 +30,11 @@ from functools import lru_cache
 import numpy as np
 from pyspark.sql import DataFrame
 
-from tracklake.llm.common import map_rows, texts
+from tracklake.llm.common import slices, texts
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 GPT2_SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-REMEMBERED = 400_000
+REMEMBERED = 150_000
 K1, B = 1.2, 0.75
 
 
@@ -190,7 +190,7 @@ def packed(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_co
             names = [c.split()[0] for c in SCHEMA.split(", ")]
             return pa.RecordBatch.from_arrays([pa.array(c, type=pa.int64()) for c in cols], names=names)
 
-        for b in batches:
+        for b in (x for whole in batches for x in slices(whole)):
             for key, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist()):
                 got = np.frombuffer(bpe.ids(text) + end, dtype="<u4")
                 keys.append(key)

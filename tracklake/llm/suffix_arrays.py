@@ -26,6 +26,8 @@ from tracklake.llm.common import texts
 from tracklake.llm.passages import covered, finished, repeated, with_uid
 
 KEY = 8
+#: Bytes of spans that are sorted at once, in about 200 MB of arrays.
+SHARD = 2 << 20
 SCHEMA = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
 
@@ -127,7 +129,11 @@ def finish(window: int):
     return one
 
 
-def substring_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 200, k: int = 32) -> DataFrame:
-    """Counts and the digest of what is left of every document."""
+def substring_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 200, k: int = 32, shard_bytes: int = SHARD) -> DataFrame:
+    """Counts and the digest of what is left of every document.
+
+    An anchor is compared in memory if its spans, of less than two windows each,
+    surely fit in one shard; beyond that by digest.
+    """
     docs = with_uid(texts(docs, id_col, text_col))
-    return finished(docs, repeated(docs, window, k, False, resolve), finish(window), SCHEMA)
+    return finished(docs, repeated(docs, window, k, False, resolve, max(1, shard_bytes // (2 * window)), shard_bytes), finish(window), SCHEMA)
