@@ -144,10 +144,9 @@ def view_ordered(spark, sf):
     return s.runs(spark, sf).join(F.broadcast(g), "chrom").orderBy("chrom_id", "begin").select("chrom", "begin", "end", "value")
 
 
-@query(*OV, "px AS (SELECT region_id, chrom, unnest(range(greatest(rb, b), least(re, e))) AS pos, v FROM ov WHERE w > 0 AND region_id % 10 = 0)", body="SELECT region_id, chrom, CAST(pos AS BIGINT) AS pos, v AS value FROM px")
+@query(*OV, "px AS (SELECT region_id, chrom, unnest(range(greatest(rb, b), least(re, e))) AS pos, v FROM ov WHERE w > 0)", body="SELECT region_id, chrom, CAST(pos AS BIGINT) AS pos, v AS value FROM px")
 def enumerate_values(spark, sf):
-    few = s.regions(spark, [r for r in s.REGION_ROWS if r[0] % 10 == 0])
-    cut = intervals.clipped(few, s.runs(spark, sf), BIN)
+    cut = intervals.clipped(s.regions(spark), s.runs(spark, sf), BIN)
     return cut.select("region_id", "chrom", F.explode(F.sequence("begin", F.col("end") - 1)).alias("pos"), "value")
 
 
