@@ -114,6 +114,7 @@ def repeated(docs: DataFrame, window: int, k: int, words: bool, resolve: Callabl
 
     found = docs.mapInArrow(cut, "h long, s long, uid long, lo int, hi int")
     kinds = found.groupBy("h").agg(F.count("*").alias("n"), F.min("s").alias("a"), F.max("s").alias("b")).where("n > 1").select("h", (F.col("a") != F.col("b")).alias("multi"))
+    kinds = saved(kinds, "anchors")  # a table by itself, so that the join shuffles both sides anew and can be split where an anchor is very common
     shared = saved(found.join(kinds, "h"), "spans")
     del found, kinds
     release(spark)
