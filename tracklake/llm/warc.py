@@ -30,6 +30,7 @@ from tracklake.llm.common import arrow_schema, saved, shared_dir
 
 MAGIC = b"\x1f\x8b\x08"
 RECORD = "page_id long, url string, record_type string, refers_to long, payload_digest string, payload_bytes long, payload binary"
+MOST_TASKS = 50_000
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
@@ -193,7 +194,10 @@ def write_records(pages: DataFrame, to: str, id_col: str = "page_id", url_col: s
 def read_records(manifest: DataFrame, split_bytes: int = 8 << 20, payloads: bool = True) -> DataFrame:
     """All records of the archives in ``manifest`` (``path``, ``bytes``), by byte ranges of ``split_bytes``."""
     schema = RECORD if payloads else RECORD.removesuffix(", payload binary")
-    ranges = manifest.where("bytes > 0").select("path", F.explode(F.sequence(F.lit(0).cast("long"), F.col("bytes") - 1, F.lit(split_bytes).cast("long"))).alias("start")).repartition(F.col("path"), F.col("start"))
+    ranges = manifest.where("bytes > 0").select("path", F.explode(F.sequence(F.lit(0).cast("long"), F.col("bytes") - 1, F.lit(split_bytes).cast("long"))).alias("start"))
+    # a range is a small row that stands for much work, so the number of tasks is given: left to itself, Spark would join all ranges into one
+    tasks = min(MOST_TASKS, ranges.count())
+    ranges = ranges.repartition(max(1, tasks), "path", "start")
 
     arrow = arrow_schema(schema)
 
