@@ -83,7 +83,7 @@ def suffix_ranks(docs: DataFrame, depth: int) -> DataFrame:
 def later_copies(docs: DataFrame, min_lines: int) -> DataFrame:
     """``(uid, runs)``: flat first and last starts of runs that occurred before."""
     ranks = suffix_ranks(docs, min_lines)
-    first = ranks.groupBy("rank").agg(F.min(F.struct("uid", "i")).alias("first"))
+    first = saved(ranks.groupBy("rank").agg(F.min(F.struct("uid", "i")).alias("first")), "firsts")  # so the join below can be split where a run is very common
     later = ranks.join(first, "rank").where("first.uid <> uid OR first.i <> i")
     return later.groupBy("uid").agg(F.flatten(F.collect_list(F.array("i", "i"))).alias("runs"))
 
