@@ -310,6 +310,34 @@ def test_packing(spark, rows, docs):
     assert len(pieces) == len(rows)
 
 
+def topical(spark, n, parts):
+    """Documents of eight vocabularies in turn, dealt over many partitions."""
+    rng = random.Random(7)
+    words = [["".join(rng.choices("bcdfglmnprst", k=5)) for _ in range(60)] for _ in range(8)]
+    rows = [(i, " ".join(rng.choices(words[i % 8], k=60))) for i in range(n)]
+    return spark.createDataFrame(rows, "doc_id long, text string").repartition(parts)
+
+
+def test_packing_searches_all_partitions(spark):
+    seqs, tokens = defaultdict(Counter), Counter()
+    for r in retrieval_packing.packed(topical(spark, 400, 37), files.path("byte_bpe_50k.json"), shard_tokens=10_000).collect():
+        seqs[r["sequence_id"]][r["doc_id"] % 8] += r["length"]
+        tokens[r["doc_id"]] += r["length"]
+    assert len(tokens) == 400
+    pure = sum(max(c.values()) for c in seqs.values()) / sum(tokens.values())
+    assert pure > 0.8, pure
+
+
+def test_frequencies_are_of_the_corpus(spark, docs):
+    path = files.path("byte_bpe_50k.json")
+    spec = spark.sparkContext.broadcast(open(path, encoding="utf-8").read())
+    coded = retrieval_packing.token_ids(docs.select("doc_id", "text"), spec, 0, "<u2")
+    all_ids = [np.frombuffer(r["ids"], "<u2") for r in coded.collect()]
+    have, want = retrieval_packing.frequencies(coded, "<u2"), Counter(t for d in all_ids for t in set(d.tolist()))
+    assert (have.n, have.tokens) == (len(all_ids), sum(map(len, all_ids)))
+    assert {t: n for t, n in enumerate(have.df.tolist()) if n} == want
+
+
 def test_neighbours_are_lexical():
     a, b = np.arange(100, 160), np.arange(500, 560)
     index = retrieval_packing.Bm25([a, b, a[:50], b[5:], np.array([1])], 12)

@@ -1,7 +1,11 @@
 """Lexical retrieval packing.
 
-Documents become token ids and are gathered into shards of about
-``shard_tokens`` tokens as they are read. Each shard has a BM25 inverted index
+Documents become token ids, which are written once. Document frequencies, the
+number of documents and their mean length are counted over the whole corpus. A
+tree of two-means splits, grown on a sample of the documents' projected term
+weights, then puts documents of like content side by side, wherever they were
+read; in that order they are dealt to shards of about ``shard_tokens`` tokens.
+Each shard has a BM25 inverted index
 over its documents' ids. Windows are filled greedily: a seed document is placed,
 then its best unused neighbours by BM25 that still fit; when none fits, the best
 one is cut at the window's end and its rest seeds the next window. A seed
@@ -9,13 +13,12 @@ without unused neighbours is followed by the next unused document in order. So
 all windows are full; what is left at a shard's end is cut into sequences whose
 sizes are powers of two, and nothing is padded.
 
-Shards are made of whole input splits, so nothing is shuffled, a lost task is
-simply redone, and memory is bounded by a shard and its longest document. Document
-frequencies are those of the shard, as is usual for sharded indexes; all
-documents' tokens are counted, in one shard each.
+Neighbours are searched in the seed's shard alone, so a related document that
+the tree puts into another shard is not found. Memory is bounded by a shard and
+its longest document; the sample is ``PER_SHARD`` documents a shard.
 
 Defined cases: a null or empty text is the separator alone; repeated rows are
-packed each by itself; ties in score go to the earlier document; an empty table
+packed each by itself; ties in score go to the earlier document in shard order; an empty table
 gives an empty result; other columns are ignored.
 """
 
@@ -29,13 +32,17 @@ from functools import lru_cache
 
 import numpy as np
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from tracklake.llm.common import slices, texts
+from tracklake.llm.common import arrow_schema, saved, slices, texts
+from tracklake.llm.repeats import mix
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 GPT2_SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 REMEMBERED = 150_000
 K1, B = 1.2, 0.75
+#: Sizes of the projected term weights, and documents sampled for each shard.
+DIMS, PER_SHARD = 128, 16
 
 
 class ByteBpe:
@@ -85,25 +92,100 @@ def byte_bpe(spec: str) -> ByteBpe:
     return ByteBpe(spec)
 
 
+def doc_terms(docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``(doc, term, count)``, sorted by term, then document."""
+    sizes = [len(d) for d in docs]
+    keys = np.repeat(np.arange(len(docs), dtype=np.uint64), sizes) | (np.concatenate(docs).astype(np.uint64) << np.uint64(32))
+    keys.sort()
+    first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
+    tf = np.diff(np.append(first, len(keys)))
+    keys = keys[first]
+    return (keys & np.uint64(0xFFFFFFFF)).astype(np.int64), (keys >> np.uint64(32)).astype(np.int64), tf
+
+
+class Corpus:
+    """Counts over all documents: how many, their tokens, and how many hold each id."""
+
+    def __init__(self, n: int, tokens: int, df: np.ndarray):
+        self.n, self.tokens, self.df = n, tokens, df
+
+    @classmethod
+    def of(cls, docs: list[np.ndarray]) -> Corpus:
+        return cls(len(docs), sum(map(len, docs)), np.bincount(doc_terms(docs)[1]))
+
+    def idf(self) -> np.ndarray:
+        return np.log1p((self.n - self.df + 0.5) / (self.df + 0.5)).astype(np.float32)
+
+    def vectors(self, docs: list[np.ndarray]) -> np.ndarray:
+        """Term weights of documents, projected by signed hashing to ``DIMS``, of length one; terms of one document alone don't count."""
+        doc, term, tf = doc_terms(docs)
+        h = mix(np.arange(len(self.df), dtype=np.uint64))
+        value = np.where(self.df > 1, self.idf(), 0) * np.where(h >> np.uint64(63), 1, -1)
+        slot = (h % np.uint64(DIMS)).astype(np.int64)
+        x = np.bincount(doc * DIMS + slot[term], value[term] * np.log1p(tf), len(docs) * DIMS).reshape(-1, DIMS)
+        return (x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)).astype(np.float32)
+
+
+class Tree:
+    """Splits of a sample by two means until a part has at most ``least`` rows; parts are numbered from left to right."""
+
+    def __init__(self, sample: np.ndarray, least: int):
+        self.across, self.bias, self.down, self.part = [], [], [], []
+        todo, parts = [(np.arange(len(sample)), None)], 0
+        while todo:
+            rows, parent = todo.pop()
+            if parent is not None:
+                self.down[parent[0]][parent[1]] = len(self.down)
+            x = sample[rows]
+            across, bias = self.split(x) if len(rows) > least else (None, 0.0)
+            right = x @ across > bias if across is not None else np.zeros(0, dtype=bool)
+            inner = bool(right.any()) and not right.all()
+            node = len(self.down)
+            self.across.append(across if inner else np.zeros(DIMS, dtype=np.float32))
+            self.bias.append(bias)
+            self.down.append([node, node])
+            self.part.append(-1 if inner else parts)
+            if inner:
+                todo += [(rows[right], (node, 1)), (rows[~right], (node, 0))]
+            else:
+                parts += 1
+        self.across, self.bias = np.array(self.across), np.array(self.bias, dtype=np.float32)
+        self.down, self.part = np.array(self.down), np.array(self.part)
+
+    @staticmethod
+    def split(x: np.ndarray) -> tuple[np.ndarray, float]:
+        a = x[np.argmin(x @ x.mean(0))]
+        b = x[np.argmin(x @ a)]
+        for _ in range(8):
+            right = x @ (a - b) > (a @ a - b @ b) / 2
+            if right.all() or not right.any():
+                break
+            a, b = x[right].mean(0), x[~right].mean(0)
+        return a - b, float(a @ a - b @ b) / 2
+
+    def parts(self, x: np.ndarray) -> np.ndarray:
+        at = np.zeros(len(x), dtype=np.int64)
+        while (open_ := np.flatnonzero(self.part[at] < 0)).size:
+            node = at[open_]
+            right = np.einsum("ij,ij->i", x[open_], self.across[node]) > self.bias[node]
+            at[open_] = self.down[node, right.astype(np.int64)]
+        return self.part[at]
+
+
 class Bm25:
     """An inverted index over one shard: postings by term, with the terms' weights in their documents."""
 
-    def __init__(self, docs: list[np.ndarray], query_terms: int):
+    def __init__(self, docs: list[np.ndarray], query_terms: int, corpus: Corpus | None = None):
         n = len(docs)
         sizes = np.array([len(d) for d in docs], dtype=np.int64)
-        keys = np.repeat(np.arange(n, dtype=np.uint64), sizes) | (np.concatenate(docs).astype(np.uint64) << np.uint64(32))
-        keys.sort()
-        first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
-        tf = np.diff(np.append(first, len(keys))).astype(np.float32)
-        keys = keys[first]
-        self.doc = (keys & np.uint64(0xFFFFFFFF)).astype(np.int64)
-        term = (keys >> np.uint64(32)).astype(np.int64)
+        self.doc, term, tf = doc_terms(docs)
         starts = np.flatnonzero(np.concatenate(([True], term[1:] != term[:-1])))
         self.starts = np.append(starts, len(term))
         df = np.diff(self.starts)
         slot = np.repeat(np.arange(len(df)), df)
-        idf = np.log1p((n - df + 0.5) / (df + 0.5)).astype(np.float32)[slot]
-        self.weight = idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * sizes[self.doc] / max(sizes.mean(), 1))).astype(np.float32)
+        corpus = corpus or Corpus.of(docs)
+        mean = corpus.tokens / max(corpus.n, 1)
+        self.weight = (corpus.idf()[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * sizes[self.doc] / max(mean, 1)))).astype(np.float32)
         # each document's best terms, which are its query; those of one document alone find nobody
         shared = np.flatnonzero(df[slot] > 1)
         order = shared[np.lexsort((slot[shared], -self.weight[shared], self.doc[shared]))]
@@ -125,9 +207,9 @@ class Bm25:
         return hit[np.lexsort((hit, -score[hit]))][:k]
 
 
-def pack(docs: list[np.ndarray], window: int = 1024, query_terms: int = 12, look: int = 32):
+def pack(docs: list[np.ndarray], window: int = 1024, query_terms: int = 12, look: int = 32, corpus: Corpus | None = None):
     """Yields ``(doc, start, length, sequence, offset)``, covering every id once."""
-    index = Bm25(docs, query_terms)
+    index = Bm25(docs, query_terms, corpus)
     n = len(docs)
     used = np.zeros(n, dtype=bool)
     sizes = [len(d) for d in docs]
@@ -167,21 +249,28 @@ def pack(docs: list[np.ndarray], window: int = 1024, query_terms: int = 12, look
 def packed(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", window: int = 1024, separator: int = 0, shard_tokens: int = 2_000_000) -> DataFrame:
     """One row per piece. ``sequence_id`` is the task's number times 2**32 plus a count within the task."""
     with open(tokenizer_path, encoding="utf-8") as f:
-        spec = docs.sparkSession.sparkContext.broadcast(f.read())
-    source = texts(docs, id_col, text_col)
+        text = f.read()
+    spec = docs.sparkSession.sparkContext.broadcast(text)
+    model = json.loads(text)
+    kind = "<u2" if max([separator, *model["model"]["vocab"].values(), *(t["id"] for t in model["added_tokens"])]) < 1 << 16 else "<u4"  # of the ids as written
+    coded = saved(token_ids(texts(docs, id_col, text_col), spec, separator, kind), "token_ids")
+    corpus = frequencies(coded, kind)
+    if not corpus.n:
+        return docs.sparkSession.createDataFrame([], SCHEMA)
+    shards = 1 if corpus.tokens <= shard_tokens else -(-corpus.tokens * 5 // (4 * shard_tokens))  # ranges differ in size; a quarter more of them leaves few rests
+    counts = docs.sparkSession.sparkContext.broadcast(corpus)
 
     def run(batches):
         import pyarrow as pa
         from pyspark import TaskContext
 
-        bpe, end = byte_bpe(spec.value), array("I", [separator]).tobytes()
         base = TaskContext.get().partitionId() << 32
         keys, ids, held = [], [], 0
 
         def shard():
             nonlocal base, keys, ids, held
             rows, top = [], -1
-            for d, start, length, seq, offset in pack(ids, window):
+            for d, start, length, seq, offset in pack(ids, window, corpus=counts.value):
                 rows.append((keys[d], start, length, zlib.crc32(ids[d][start : start + length].tobytes()), len(ids[d]), base + seq, offset))
                 top = seq
             base += top + 1
@@ -191,8 +280,8 @@ def packed(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_co
             return pa.RecordBatch.from_arrays([pa.array(c, type=pa.int64()) for c in cols], names=names)
 
         for b in (x for whole in batches for x in slices(whole)):
-            for key, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist()):
-                got = np.frombuffer(bpe.ids(text) + end, dtype="<u4")
+            keys_, got_ = b.column("doc_id").to_pylist(), listed(b, kind)
+            for key, got in zip(keys_, got_):
                 keys.append(key)
                 ids.append(got)
                 held += len(got)
@@ -201,4 +290,75 @@ def packed(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_co
         if ids:
             yield shard()
 
-    return source.mapInArrow(run, SCHEMA)
+    order = ["part", F.xxhash64("ids"), "doc_id"]
+    alike = grouped(coded, corpus, counts, shards, kind)
+    return alike.repartitionByRange(shards, *order).sortWithinPartitions(*order).select("doc_id", "ids").mapInArrow(run, SCHEMA)
+
+
+def listed(batch, kind: str) -> list[np.ndarray]:
+    return [np.frombuffer(x, dtype=kind).astype("<u4") for x in batch.column("ids").to_pylist()]
+
+
+def token_ids(source: DataFrame, spec, separator: int, kind: str) -> DataFrame:
+    """``(doc_id, ids)``: ids of type ``kind`` with the separator at the end."""
+    schema = arrow_schema("doc_id long, ids binary")
+
+    def run(batches):
+        import pyarrow as pa
+
+        bpe, end = byte_bpe(spec.value), array("I", [separator]).tobytes()
+        for b in (x for whole in batches for x in slices(whole)):
+            ids = [np.frombuffer(bpe.ids(t) + end, dtype="<u4").astype(kind).tobytes() for t in b.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(ids, pa.binary())], schema=schema)
+
+    return source.mapInArrow(run, "doc_id long, ids binary")
+
+
+def frequencies(coded: DataFrame, kind: str) -> Corpus:
+    """Counted in the tasks; the driver gets one number for each id of the vocabulary."""
+    schema = arrow_schema("term long, n long")
+
+    def run(batches):
+        import pyarrow as pa
+
+        df, n, tokens = np.zeros(0, dtype=np.int64), 0, 0
+        for b in (x for whole in batches for x in slices(whole)):
+            docs = listed(b, kind)
+            got = np.bincount(doc_terms(docs)[1], minlength=len(df))
+            got[: len(df)] += df
+            df, n, tokens = got, n + len(docs), tokens + sum(map(len, docs))
+        at = np.flatnonzero(df)
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(at, [-1, -2])), pa.array(np.append(df[at], [n, tokens]))], schema=schema)
+
+    found = {r[0]: r[1] for r in coded.mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n")).collect()}
+    n, tokens = found.pop(-1, 0), found.pop(-2, 0)
+    df = np.zeros(max(found, default=-1) + 1, dtype=np.int64)
+    df[list(found)] = list(found.values())
+    return Corpus(n, tokens, df)
+
+
+def grouped(coded: DataFrame, corpus: Corpus, counts, shards: int, kind: str) -> DataFrame:
+    """``coded`` with the number of the part of the tree that a document belongs to."""
+    import pyarrow as pa
+
+    schema, fields = arrow_schema("doc_id long, ids binary, part long"), "doc_id long, ids binary, part long"
+    vector = arrow_schema("x binary")
+
+    def project(batches):
+        for b in (x for whole in batches for x in slices(whole)):
+            if b.num_rows:
+                yield pa.RecordBatch.from_arrays([pa.array([v.tobytes() for v in counts.value.vectors(listed(b, kind))], pa.binary())], schema=vector)
+
+    share = min(1.0, PER_SHARD * shards / corpus.n)
+    chosen = coded.where(F.pmod(F.xxhash64("doc_id", "ids"), F.lit(1 << 30)) < int(share * (1 << 30)))
+    rows = sorted(r[0] for r in chosen.select("ids").mapInArrow(project, "x binary").collect()) if shards > 1 else []
+    sample = np.frombuffer(b"".join(rows), dtype=np.float32).reshape(-1, DIMS)
+    tree = coded.sparkSession.sparkContext.broadcast(Tree(sample, PER_SHARD))
+
+    def run(batches):
+        for b in (x for whole in batches for x in slices(whole)):
+            if b.num_rows:
+                part = tree.value.parts(counts.value.vectors(listed(b, kind)))
+                yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("ids"), pa.array(part, pa.int64())], schema=schema)
+
+    return saved(coded.mapInArrow(run, fields), "parts")
