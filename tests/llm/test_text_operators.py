@@ -328,6 +328,17 @@ def test_packing_searches_all_partitions(spark):
     assert pure > 0.8, pure
 
 
+def test_neighbours_beyond_the_first_terms_and_the_first_32():
+    rare, more, alone = np.arange(12), np.arange(20, 28), iter(range(1000, 10_000))
+    new = lambda k: np.array([next(alone) for _ in range(k)])
+    docs = [np.concatenate([rare, new(52)]), np.concatenate([rare, rare, more]), *(np.concatenate([new(9), [50]]) for _ in range(5)), more]
+    placed = [(d, q) for d, _, _, q, _ in retrieval_packing.pack(docs, 64)]
+    assert placed[:3] == [(0, 0), (1, 1), (7, 1)]  # 7 shares only the lighter terms of 1
+    short = [np.arange(100, 110) + 100 * (i % 2) for i in range(400)]
+    first = [d for d, _, _, q, _ in retrieval_packing.pack(short, 1024) if q == 0]
+    assert len(first) == 103 and len({d % 2 for d in first}) == 1
+
+
 def test_frequencies_are_of_the_corpus(spark, docs):
     path = files.path("byte_bpe_50k.json")
     spec = spark.sparkContext.broadcast(open(path, encoding="utf-8").read())

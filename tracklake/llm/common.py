@@ -21,10 +21,10 @@ def shared_dir(spark: SparkSession, purpose: str) -> str:
     return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
 
 
-def saved(df: DataFrame, purpose: str) -> DataFrame:
+def saved(df: DataFrame, purpose: str, codec: str | None = None) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage ends there, and lost executors lose nothing."""
     path = shared_dir(df.sparkSession, purpose)
-    df.write.parquet(path)
+    df.write.parquet(path, compression=codec)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

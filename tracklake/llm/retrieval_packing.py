@@ -15,7 +15,9 @@ sizes are powers of two, and nothing is padded.
 
 Neighbours are searched in the seed's shard alone, so a related document that
 the tree puts into another shard is not found. Memory is bounded by a shard and
-its longest document; the sample is ``PER_SHARD`` documents a shard.
+its longest document. All terms of a seed that another document of the shard has count in its scores, and
+all documents with a score are ranked, as far down as the window needs. The sample is ``PER_SHARD``
+documents a shard.
 
 Defined cases: a null or empty text is the separator alone; repeated rows are
 packed each by itself; ties in score go to the earlier document in shard order; an empty table
@@ -175,7 +177,7 @@ class Tree:
 class Bm25:
     """An inverted index over one shard: postings by term, with the terms' weights in their documents."""
 
-    def __init__(self, docs: list[np.ndarray], query_terms: int, corpus: Corpus | None = None):
+    def __init__(self, docs: list[np.ndarray], query_terms: int | None = None, corpus: Corpus | None = None):
         n = len(docs)
         sizes = np.array([len(d) for d in docs], dtype=np.int64)
         self.doc, term, tf = doc_terms(docs)
@@ -185,53 +187,106 @@ class Bm25:
         slot = np.repeat(np.arange(len(df)), df)
         corpus = corpus or Corpus.of(docs)
         mean = corpus.tokens / max(corpus.n, 1)
-        self.weight = (corpus.idf()[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * sizes[self.doc] / max(mean, 1)))).astype(np.float32)
-        # each document's best terms, which are its query; those of one document alone find nobody
+        self.weight = (corpus.idf()[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * sizes[self.doc] / max(mean, 1)))).astype(np.float64)
+        # each document's terms, or its best ones, are its query; those of one document alone find nobody
         shared = np.flatnonzero(df[slot] > 1)
         order = shared[np.lexsort((slot[shared], -self.weight[shared], self.doc[shared]))]
         at = np.searchsorted(self.doc[order], np.arange(n + 1))
-        self.query = [slot[order[a : min(b, a + query_terms)]] for a, b in zip(at[:-1], at[1:])]
+        self.query = [slot[order[a : b if query_terms is None else min(b, a + query_terms)]] for a, b in zip(at[:-1], at[1:])]
         self.n = n
 
-    def neighbours(self, seed: int, used: np.ndarray, k: int) -> np.ndarray:
-        """Up to ``k`` unused documents, best first; ties go to the earlier one."""
-        q = self.query[seed]
-        if not len(q):
-            return q
-        spans = [slice(self.starts[t], self.starts[t + 1]) for t in q]
+    def drop(self, used: np.ndarray) -> None:
+        """Forget the postings of used documents."""
+        live = ~used[self.doc]
+        self.starts = np.concatenate(([0], np.cumsum(live)))[self.starts]
+        self.doc, self.weight = self.doc[live], self.weight[live]
+
+    def scores(self, seed: int, used: np.ndarray) -> np.ndarray:
+        """Every unused document's score, by all terms of the seed's query."""
+        spans = [slice(self.starts[t], self.starts[t + 1]) for t in self.query[seed]]
+        if not spans:
+            return np.zeros(self.n)
         score = np.bincount(np.concatenate([self.doc[s] for s in spans]), np.concatenate([self.weight[s] for s in spans]), self.n)
         score[used] = 0
-        hit = np.flatnonzero(score)
-        if len(hit) > 4 * k:
-            hit = hit[score[hit] >= -np.partition(-score[hit], k)[k]]
-        return hit[np.lexsort((hit, -score[hit]))][:k]
+        return score
+
+    def neighbours(self, seed: int, used: np.ndarray, k: int) -> np.ndarray:
+        """Up to ``k`` unused documents, best first; ties go to the earlier one."""
+        score = self.scores(seed, used)
+        return ranked(np.flatnonzero(score), score)[:k]
+
+
+def ranked(docs: np.ndarray, score: np.ndarray) -> np.ndarray:
+    return docs[np.lexsort((docs, -score[docs]))]
 
 
-def pack(docs: list[np.ndarray], window: int = 1024, query_terms: int = 12, look: int = 32, corpus: Corpus | None = None):
+class Near:
+    """All documents with a score, best first, for one window, whose room only shrinks. The first ``look`` are sorted at once, the rest if they are asked for."""
+
+    def __init__(self, score: np.ndarray, sizes: np.ndarray, look: int):
+        self.score, self.sizes = score, sizes
+        hit = np.flatnonzero(score)
+        self.rest = hit[:0]
+        if len(hit) > 4 * look:
+            s = score[hit]
+            best = s >= -np.partition(-s, look)[look]
+            hit, self.rest = hit[best], hit[~best]
+        self.ahead, self.at, self.best = ranked(hit, score).tolist(), 0, None
+
+    def take(self, room: int) -> int | None:
+        """The best that fits, else the best of all, which is then to be cut."""
+        while True:
+            while self.at < len(self.ahead):
+                x = self.ahead[self.at]
+                self.at += 1
+                if self.sizes[x] <= room:
+                    return x
+                self.skip(x)
+            if not len(self.rest):
+                return self.best
+            fits = self.sizes[self.rest] <= room
+            fit, over = self.rest[fits], self.rest[~fits]
+            self.ahead, self.at, self.rest = ranked(fit, self.score).tolist(), 0, fit[:0]
+            if len(over):
+                self.skip(int(over[np.argmax(self.score[over])]))
+
+    def skip(self, x: int) -> None:
+        if self.best is None or (-self.score[x], x) < (-self.score[self.best], self.best):
+            self.best = x
+
+
+def pack(docs: list[np.ndarray], window: int = 1024, query_terms: int | None = None, look: int = 32, corpus: Corpus | None = None):
     """Yields ``(doc, start, length, sequence, offset)``, covering every id once."""
     index = Bm25(docs, query_terms, corpus)
     n = len(docs)
     used = np.zeros(n, dtype=bool)
-    sizes = [len(d) for d in docs]
-    total, nxt, seq, room = sum(sizes), 0, 0, window
+    sizes = np.array([len(d) for d in docs], dtype=np.int64)
+    total, nxt, seq, room = int(sizes.sum()), 0, 0, window
     doc, start, placed, cap = None, 0, 0, window
-    seed, near = None, []
+    live, gone, none = n, 0, Near(np.zeros(n), sizes, look)
+    seed, near = None, none
+
+    def around(x: int) -> Near:
+        nonlocal live, gone
+        if 4 * gone > live:
+            index.drop(used)
+            live, gone = live - gone, 0
+        return Near(index.scores(x, used), sizes, look)
+
     if total < window:
         cap = room = 1 << (total.bit_length() - 1) if total else 0
     while placed < total:
         if doc is None:
-            near = [x for x in near if not used[x]]
-            fits = next((x for x in near if sizes[x] <= room), None)
-            doc = fits if fits is not None else near[0] if near else None
+            doc = near.take(room)
             if doc is None:
                 while used[nxt]:
                     nxt += 1
                 doc = nxt
-            used[doc], start = True, 0
+            used[doc], start, gone = True, 0, gone + 1
             if seed is None:
                 seed = doc
-                near = list(index.neighbours(seed, used, look)) if sizes[doc] < room else []
-        take = min(room, sizes[doc] - start)
+                near = around(seed) if sizes[doc] < room else none
+        take = min(room, int(sizes[doc]) - start)
         yield doc, start, take, seq, cap - room
         placed, room, start = placed + take, room - take, start + take
         over = start == sizes[doc]
@@ -239,9 +294,13 @@ def pack(docs: list[np.ndarray], window: int = 1024, query_terms: int = 12, look
             seq += 1
             left = total - placed
             cap = room = window if left >= window else 1 << (left.bit_length() - 1) if left else 0
-            seed = None if over else doc
-            if not over:
-                near = list(index.neighbours(doc, used, look)) if sizes[doc] - start < room else []
+            if over:
+                seed = None
+                near.score[used] = 0
+                near = Near(near.score, sizes, look)
+            else:
+                seed = doc
+                near = around(doc) if sizes[doc] - start < room else none
         if over:
             doc = None
 
@@ -253,7 +312,7 @@ def packed(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_co
     spec = docs.sparkSession.sparkContext.broadcast(text)
     model = json.loads(text)
     kind = "<u2" if max([separator, *model["model"]["vocab"].values(), *(t["id"] for t in model["added_tokens"])]) < 1 << 16 else "<u4"  # of the ids as written
-    coded = saved(token_ids(texts(docs, id_col, text_col), spec, separator, kind), "token_ids")
+    coded = saved(token_ids(texts(docs, id_col, text_col), spec, separator, kind), "token_ids", "zstd")
     corpus = frequencies(coded, kind)
     if not corpus.n:
         return docs.sparkSession.createDataFrame([], SCHEMA)
@@ -361,4 +420,4 @@ def grouped(coded: DataFrame, corpus: Corpus, counts, shards: int, kind: str) ->
                 part = tree.value.parts(counts.value.vectors(listed(b, kind)))
                 yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("ids"), pa.array(part, pa.int64())], schema=schema)
 
-    return saved(coded.mapInArrow(run, fields), "parts")
+    return saved(coded.mapInArrow(run, fields), "parts", "zstd")
