@@ -7,6 +7,7 @@ of three tables; a cell keeps a count and the XOR of digests and of their checks
 Sketches of two versions subtract cell by cell; peeling cells that hold a single
 digest recovers the digests on either side. If peeling stops early, the
 sketches are built anew with room for all digests, and doubled after each failure.
+The published sketch has 12 cells, however long the text: by itself it carries small differences only.
 
 The likeness of two texts is that of their digest multisets, common over all,
 from the number of recovered digests.
