@@ -75,11 +75,9 @@ def test_substrings(spark, rows, docs, shard_bytes):
         assert tuple(have[i])[1:] == (len(b), sum(mark), runs, hashlib.sha256(kept).hexdigest())
 
 
-@pytest.mark.parametrize("hot", [128, 1])
+@pytest.mark.parametrize("hot", [512, 3, 1])
 def test_passages(spark, rows, docs, hot, monkeypatch):
-    from tracklake.llm import passages
-
-    monkeypatch.setattr(passages, "HOT", hot)
+    monkeypatch.setattr(suffix_trees, "MOST_KINDS", hot)
     have = got(suffix_trees.passage_digests(docs))
     words = [(t or "").encode().split() for _, t in rows]
     for (i, _), w, mark in zip(rows, words, covered(words, 35)):

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from tracklake.llm import language_id, line_dedup, minhash, suffix_trees
 from tracklake.llm.common import saved, slices
-from tracklake.llm.passages import covered, repeated
+from tracklake.llm.passages import covered
 
 UID = "_row_uid"
 
@@ -84,7 +84,7 @@ def one_of_each_group(docs: DataFrame, shingle: int = 5, percent: int = 80) -> D
 def without_repeated_passages(docs: DataFrame, window: int = 35, k: int = 8) -> DataFrame:
     """What is left between removed passages stays as it was written; stretches meet at line ends."""
     docs = numbered(docs)
-    runs = repeated(docs.select(F.col(UID).alias("uid"), "text"), window, k, True, suffix_trees.resolve)
+    runs = suffix_trees.repeated_windows(docs.select(F.col(UID).alias("uid"), "text"), window, k)
     return rewritten(docs, runs, lambda t, r: stretches(t, r, window))
 
 

@@ -1,18 +1,15 @@
-"""Finding every window of a corpus that occurs more than once, exactly and without skew.
-
-1. Each document is cut into spans (see ``repeats``). Anchors that occur once
-   are dropped: their windows cannot repeat. What is counted is a hash for each
-   of about seventy windows, in a partial aggregate.
-2. Where all spans of an anchor are alike, all their windows repeat. Otherwise
-   one span of each kind is fetched with its text, and the spans of an anchor
-   are compared in memory (``resolve``, which the operators bring along), a
-   shard of anchors at a time.
-3. An anchor with more than ``most_kinds`` kinds of spans is not gathered in one place:
-   its windows are counted by digest, by partial aggregates, and looked up again by a
-   join that Spark can split.
-
-Joins carry places, not texts; texts are shuffled twice, to fetch spans and to
-write the result. Intermediate tables go to the shared folder.
+"""What the two operators on repeated passages share: from documents to the texts that need comparing, and back.
+
+Each document is cut into spans (see ``repeats``). Anchors that occur once are
+dropped: their windows cannot repeat. Equal spans of an anchor are one *kind*;
+one span of each kind is fetched with its text. An operator then marks, by its
+own structure over these texts, which windows of each kind occur twice or more,
+and the marks go back to all spans of that kind.
+
+Joins carry hashes and places, not texts; texts are shuffled to fetch spans and
+to write the result. Tables that are joined are written first, so that Spark can
+split a partition of a very common anchor. Intermediate tables go to the shared
+folder and are deleted once all that was made from them is written.
 """
 
 from __future__ import annotations
@@ -25,14 +22,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracklake.llm.common import arrow_schema, saved, slices
-from tracklake.llm.repeats import BYTES, Hashes, mix, spans, word_hashes, words_of
+from tracklake.llm.common import arrow_schema, discard, saved, slices
+from tracklake.llm.repeats import BYTES, spans, word_hashes, words_of
 
-#: Kinds of spans of an anchor that are compared in memory; a span is a few hundred bytes.
-HOT = 128
-CHUNK = 2 << 20
-#: Bytes of spans that a task resolves together.
-SHARD = 4 << 20
+CHUNK = 1 << 20
 
 
 def with_uid(docs: DataFrame) -> DataFrame:
@@ -75,131 +68,105 @@ class Symbols:
         return b" ".join(raw.split())
 
 
-def chunks(batch: pa.RecordBatch, *cols: str) -> Iterator[tuple[list[bytes], list[list]]]:
-    """A batch's texts as bytes, with other columns, in pieces of about ``CHUNK`` bytes."""
+def pieces(batch: pa.RecordBatch) -> Iterator[tuple[list[bytes], pa.RecordBatch]]:
+    """A batch in pieces of about ``CHUNK`` bytes of text, each with its texts as bytes."""
     for part in slices(batch):
-        texts = [(t or "").encode() for t in part.column("text").to_pylist()]
-        rest = [part.column(c).to_pylist() for c in cols]
+        texts = [t or b"" for t in part.column("text").cast(pa.binary()).to_pylist()]
         at, size = 0, 0
         for i, t in enumerate(texts):
             size += len(t)
             if size >= CHUNK or i + 1 == len(texts):
-                yield texts[at : i + 1], [c[at : i + 1] for c in rest]
+                yield texts[at : i + 1], part.slice(at, i + 1 - at)
                 at, size = i + 1, 0
 
 
+def chunks(batch: pa.RecordBatch, *cols: str) -> Iterator[tuple[list[bytes], list[list]]]:
+    """A batch's texts as bytes, with other columns as lists, in such pieces."""
+    for texts, part in pieces(batch):
+        yield texts, [part.column(c).to_pylist() for c in cols]
+
+
 def signed(x: np.ndarray) -> pa.Array:
     return pa.array(x.astype(np.uint64).view(np.int64))
 
 
-def repeated(docs: DataFrame, window: int, k: int, words: bool, resolve: Callable, most_kinds: int | None = None, shard_bytes: int = SHARD) -> DataFrame:
+def rows_of(batch: pa.RecordBatch, *cols: str) -> Iterator[tuple]:
+    return zip(*(batch.column(c).to_pylist() for c in cols))
+
+
+def repeated(docs: DataFrame, window: int, k: int, words: bool, mark: Callable[[DataFrame], DataFrame], most_kinds: int | None = None) -> DataFrame:
     """``(uid, runs)``: flat first and last starts, in no order, of windows that occur more than once.
 
-    ``docs`` has ``uid`` (unique) and ``text``. ``resolve(contents, owned, twice,
-    window)`` tells, for each content, which of its first ``owned`` windows occur
-    twice or more among all of them; ``twice`` contents stand for several equal ones.
-    ``most_kinds`` (``HOT``) and ``shard_bytes`` bound what it gets at once.
+    ``docs`` has ``uid`` (unique) and ``text``. ``mark`` gets ``(h, s, twice, many, owned, content)``, a
+    row for each kind ``s`` of anchor ``h``: the text of one span, how many windows start in it, whether
+    there are several such spans and whether the anchor has more than ``most_kinds`` kinds. It returns
+    ``(h, s, runs)``, the runs of windows of a kind that occur twice or more.
     """
     spark = docs.sparkSession
     docs = docs.select("uid", "text")
-    schema = arrow_schema("h long, s long, uid long, lo int, hi int")
+    ddl = "h long, s long, uid long, lo int, hi int"
+    schema = arrow_schema(ddl)
 
     def cut(batches):
         for b in batches:
-            for texts, (uids,) in chunks(b, "uid"):
+            for texts, part in pieces(b):
                 sym = Symbols(texts, words)
                 h, s, doc, lo, hi = spans(sym.x, sym.sizes, window, k)
                 if len(h):
-                    yield pa.RecordBatch.from_arrays([signed(h), signed(s), pa.array(np.array(uids)[doc], pa.int64()), pa.array(lo.astype(np.int32)), pa.array(hi.astype(np.int32))], schema=schema)
+                    yield pa.RecordBatch.from_arrays([signed(h), signed(s), part.column("uid").take(pa.array(doc)), pa.array(lo.astype(np.int32)), pa.array(hi.astype(np.int32))], schema=schema)
 
-    found = docs.mapInArrow(cut, "h long, s long, uid long, lo int, hi int")
-    kinds = found.groupBy("h").agg(F.count("*").alias("n"), F.min("s").alias("a"), F.max("s").alias("b")).where("n > 1").select("h", (F.col("a") != F.col("b")).alias("multi"))
-    kinds = saved(kinds, "anchors")  # a table by itself, so that the join shuffles both sides anew and can be split where an anchor is very common
-    shared = saved(found.join(kinds, "h"), "spans")
-    del found, kinds
+    found = saved(docs.mapInArrow(cut, ddl), "found")
+    anchors = saved(found.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"), "anchors")
+    shared = saved(found.join(anchors, "h"), "spans")
+    discard(found, anchors)
     release(spark)
 
-    contents = saved(fetched(docs, shared.where("multi"), window, words, most_kinds or HOT), "contents")
-    release(spark)
-    cold = contents.where("NOT hot").repartition("h").sortWithinPartitions("h")
-    alike = saved(cold.mapInArrow(in_shards(resolve, window, shard_bytes), "h long, s long, runs array<int>").unionByName(by_digest(contents.where("hot"), window, words)), "alike")
+    kinds = saved(shared.groupBy("h", "s").agg(F.min(F.struct("uid", "lo", "hi")).alias("one"), (F.count("*") > 1).alias("twice")), "kinds")
+    flagged, spent = kinds.withColumn("many", F.lit(False)), [kinds]
+    if most_kinds:
+        many = saved(kinds.groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") > most_kinds).select("h", F.lit(True).alias("many")), "many")
+        flagged, spent = kinds.join(many, "h", "left"), [kinds, many]
+    contents = saved(fetched(docs, flagged, window, words), "contents")
+    discard(*spent)
     release(spark)
 
-    whole = shared.where("NOT multi").select("uid", F.array("lo", "hi").alias("runs"))
-    part = shared.where("multi").join(alike, ["h", "s"]).select("uid", F.transform("runs", lambda x: x + F.col("lo")).alias("runs"))
-    return whole.unionByName(part).groupBy("uid").agg(F.flatten(F.collect_list("runs")).alias("runs"))
+    marks = mark(contents)
+    discard(contents)
+    release(spark)
+    return shared.join(marks, ["h", "s"]).select("uid", F.transform("runs", lambda x: x + F.col("lo")).alias("runs")).groupBy("uid").agg(F.flatten(F.collect_list("runs")).alias("runs"))
 
 
-def fetched(docs: DataFrame, shared: DataFrame, window: int, words: bool, most_kinds: int) -> DataFrame:
+def fetched(docs: DataFrame, kinds: DataFrame, window: int, words: bool) -> DataFrame:
     """One span of each kind with its symbols."""
-    kinds = shared.groupBy("h", "s").agg(F.min(F.struct("uid", "lo", "hi")).alias("one"), (F.count("*") > 1).alias("twice"))
-    many = kinds.groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") > most_kinds).select("h", F.lit(True).alias("hot"))
-    kinds = kinds.join(many, "h", "left").select("one.uid", F.struct("h", "s", "one.lo", "one.hi", "twice", F.coalesce("hot", F.lit(False)).alias("hot")).alias("span"))
-    wanted = kinds.groupBy("uid").agg(F.collect_list("span").alias("spans"))
-    schema = arrow_schema("h long, s long, twice boolean, hot boolean, owned int, content binary")
+    span = F.struct("h", "s", "one.lo", "one.hi", "twice", F.coalesce("many", F.lit(False)).alias("many"))
+    wanted = kinds.groupBy("one.uid").agg(F.collect_list(span).alias("spans"))
+    ddl = "h long, s long, twice boolean, many boolean, owned int, content binary"
+    schema = arrow_schema(ddl)
 
     def take(batches):
         for b in batches:
-            for texts, (lists,) in chunks(b, "spans"):
+            for texts, part in pieces(b):
                 sym = Symbols(texts, words)
-                rows = [(x["h"], x["s"], x["twice"], x["hot"], x["hi"] - x["lo"] + 1, sym.content(d, x["lo"], x["hi"] + window)) for d, spans_ in enumerate(lists) for x in spans_]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), schema.types)], schema=schema)
-
-    return docs.join(wanted, "uid").select("text", "spans").mapInArrow(take, "h long, s long, twice boolean, hot boolean, owned int, content binary")
-
+                lists, flat = part.column("spans"), part.column("spans").flatten()
+                doc = np.repeat(np.arange(len(texts)), lists.value_lengths().to_numpy())
+                h, s, lo, hi, twice, many = flat.flatten()
+                lo, hi = lo.to_numpy(), hi.to_numpy()
+                got = [sym.content(d, a, e) for d, a, e in zip(doc.tolist(), lo.tolist(), (hi + window).tolist())]
+                yield pa.RecordBatch.from_arrays([h, s, twice, many, pa.array((hi - lo + 1).astype(np.int32)), pa.array(got, pa.binary())], schema=schema)
 
-def in_shards(resolve: Callable, window: int, shard_bytes: int):
-    """Spans sorted by anchor, gathered to shards that hold all spans of their anchors."""
-    schema = arrow_schema("h long, s long, runs array<int>")
-
-    def run(batches):
-        rows, size = [], 0
-
-        def shard():
-            marks = resolve([r[4] for r in rows], np.array([r[3] for r in rows]), np.array([r[2] for r in rows], dtype=bool), window)
-            out = [(r[0], r[1], runs_of(m)) for r, m in zip(rows, marks)]
-            out = [x for x in out if x[2]]
-            return [pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), schema.types)], schema=schema)] if out else []
-
-        for b in batches:
-            for row in zip(*(b.column(c).to_pylist() for c in ("h", "s", "twice", "owned", "content"))):
-                if size >= shard_bytes and row[0] != rows[-1][0]:
-                    yield from shard()
-                    rows, size = [], 0
-                rows.append(row)
-                size += len(row[4])
-        if rows:
-            yield from shard()
-
-    return run
+    return docs.join(wanted, "uid").select("text", "spans").mapInArrow(take, ddl)
 
 
-def runs_of(mark: np.ndarray) -> list[int]:
-    """First and last places of the runs of true marks, flat."""
+def runs_of(mark: np.ndarray, first: int = 0) -> list[int]:
+    """First and last places of the runs of true marks, flat; the first mark is at ``first``."""
     edge = np.diff(np.concatenate(([0], mark.astype(np.int8), [0])))
-    return np.stack([np.flatnonzero(edge == 1), np.flatnonzero(edge == -1) - 1], 1).ravel().tolist()
-
-
-def by_digest(contents: DataFrame, window: int, words: bool) -> DataFrame:
-    """The same for spans of hot anchors: windows meet by digest, counted before they are shuffled."""
-    schema = arrow_schema("h long, w long, s long, at int, n int")
-
-    def digests(batches):
-        for b in batches:
-            for h, s, twice, owned, content in zip(*(b.column(c).to_pylist() for c in ("h", "s", "twice", "owned", "content"))):
-                d = mix(Hashes(Symbols([content], words).x).grams(window)[:owned])
-                n = len(d)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, h)), signed(d), pa.array(np.full(n, s)), pa.array(np.arange(n, dtype=np.int32)), pa.array(np.full(n, 1 + twice, dtype=np.int32))], schema=schema)
-
-    found = contents.mapInArrow(digests, "h long, w long, s long, at int, n int")
-    more = found.groupBy("h", "w").agg(F.sum("n").alias("n")).where("n > 1").select("h", "w")
-    return found.join(more, ["h", "w"]).groupBy("h", "s").agg(F.flatten(F.collect_list(F.array("at", "at"))).alias("runs"))
+    return (first + np.stack([np.flatnonzero(edge == 1), np.flatnonzero(edge == -1) - 1], 1).ravel()).tolist()
 
 
 def covered(runs: list[int] | None, window: int, n: int) -> np.ndarray:
     """Which of ``n`` symbols the windows of ``runs`` cover."""
     mark = np.zeros(n + 1, dtype=np.int64)
-    if runs:
+    if runs is not None and len(runs):
         r = np.array(runs).reshape(-1, 2)
         np.add.at(mark, r[:, 0], 1)
         np.add.at(mark, np.minimum(r[:, 1] + window, n), -1)
@@ -212,7 +179,7 @@ def finished(docs: DataFrame, runs: DataFrame, finish: Callable, out_schema: str
 
     def run(batches):
         for b in (x for whole in batches for x in slices(whole)):
-            rows = [(i, *finish((t or "").encode(), r)) for i, t, r in zip(*(b.column(c).to_pylist() for c in ("doc_id", "text", "runs")))]
+            rows = [(i, *finish((t or "").encode(), r)) for i, t, r in rows_of(b, "doc_id", "text", "runs")]
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), schema.types)], schema=schema)
 

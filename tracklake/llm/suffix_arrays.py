@@ -1,17 +1,23 @@
 """Removal of repeated byte strings, with suffix arrays.
 
 Every byte covered by a string of ``window`` bytes that also starts anywhere
-else, in any document, is removed. ``passages`` reduces the corpus to spans
-whose anchors repeat and deals them to shards; each shard's suffixes are sorted
+else, in any document, is removed. ``passages`` reduces the corpus to the kinds of
+spans whose anchors repeat. These are dealt, in the order of their anchors, to
+shards of about ``shard_bytes``, however many belong to one anchor. Each shard's suffixes are sorted
 by Larsson-Sadakane refinement and their common prefixes found as Kasai does, in
-text order (all contents side by side). Strings shared across shards can only
-be those of anchors too common for one shard: their sorted digests are merged
-by a join instead of by binary search, which would need each shard's array in
-every other one.
+text order (all contents side by side).
+
+A string that two shards share belongs to an anchor that one shard ends with and
+the other begins with. For these anchors each shard lists its distinct strings, sorted by digest.
+The lists of an anchor that has several are cut, by binary search, at as
+many places as it has lists, and the slices between the same two places are merged
+by binary search of each in those before it. So a task gets about a shard's worth of strings,
+however common an anchor is.
 
 Defined cases: a null text is an empty one; texts shorter than ``window`` lose
 nothing; of equal texts at least as long all bytes go; matches never cross
-documents, and overlapping ones count; ids may be null or repeat; an empty table
+documents, and overlapping ones and those within a text count; a text of any length is
+handled whole; ids may be null or repeat; an empty table
 gives an empty result; other columns are ignored.
 """
 
@@ -20,22 +26,29 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from tracklake.llm.common import texts
-from tracklake.llm.passages import covered, finished, repeated, with_uid
+from tracklake.llm.common import arrow_schema, discard, saved, texts
+from tracklake.llm.passages import Symbols, covered, finished, repeated, rows_of, runs_of, signed, with_uid
+from tracklake.llm.repeats import Hashes, mix
 
 KEY = 8
-#: Bytes of spans that are sorted at once, in about 200 MB of arrays.
-SHARD = 2 << 20
+#: Bytes of spans that are sorted at once, in about 100 MB of arrays; three ranks of so many places fit into 63 bits.
+SHARD = 1 << 20
 SCHEMA = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
+RUNS = "h long, s long, runs array<int>"
+#: Sorted digests ``w`` of an anchor's strings in one shard, with the kind and the place of each.
+LISTS = "h long, shard long, w array<long>, s array<long>, place array<int>"
 
 
 def suffix_array(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Suffixes in order, each up to its content's end, and the eight-byte keys at each place.
 
     ``ends`` gives each place its content's end. The first ranks are those of
-    eight bytes; each round doubles the depth, and sorts only groups that aren't
+    eight bytes; each round triples the depth, sorting by the ranks of a place and of the two
+    places one and two depths further, and sorts only groups that aren't
     single yet. Suffixes that are equal to their ends stand in order of place.
     """
     n = len(data)
@@ -48,6 +61,8 @@ def suffix_array(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.nda
     new = np.concatenate(([True], keys[sa[1:]] != keys[sa[:-1]]))
     rank = np.empty(n, dtype=np.int64)
     rank[sa] = np.maximum.accumulate(np.where(new, np.arange(n), 0))  # a group's rank is its first place
+    bits = int(n + 1).bit_length()
+    steps = 2 if 3 * bits < 64 else 1
     h, depth = KEY, int(room.max()) if n else 0
     while h < depth:
         alone = new & np.concatenate((new[1:], [True]))
@@ -55,15 +70,16 @@ def suffix_array(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.nda
         if not len(open_):
             break
         at = sa[open_]
-        group = rank[at]
-        beyond = np.where(h < room[at], rank[np.minimum(at + h, n - 1)] + 1, 0)
-        order = np.argsort(group * (n + 2) + beyond)
-        at, group, beyond = at[order], group[order], beyond[order]
-        fresh = np.concatenate(([True], (group[1:] != group[:-1]) | (beyond[1:] != beyond[:-1])))
+        key = rank[at]
+        for j in range(1, steps + 1):
+            key = key << bits | np.where(j * h < room[at], rank[np.minimum(at + j * h, n - 1)] + 1, 0)
+        order = np.argsort(key)
+        at, key = at[order], key[order]
+        fresh = np.concatenate(([True], key[1:] != key[:-1]))
         sa[open_] = at
         new[open_] = fresh
         rank[at] = open_[np.maximum.accumulate(np.where(fresh, np.arange(len(at)), 0))]
-        h *= 2
+        h *= 1 + steps
     open_ = np.flatnonzero(~(new & np.concatenate((new[1:], [True]))))
     sa[open_] = sa[open_][np.argsort(rank[sa[open_]] * n + sa[open_])]
     return sa, keys
@@ -102,8 +118,11 @@ def kasai(sa: np.ndarray, keys: np.ndarray, starts: np.ndarray, ends: np.ndarray
     return out
 
 
-def resolve(contents: list[bytes], owned: np.ndarray, twice: np.ndarray, window: int) -> list[np.ndarray]:
-    """See ``passages.repeated``: windows whose suffixes share ``window`` bytes with others'."""
+def repeats_of(contents: list[bytes], owned: np.ndarray, twice: np.ndarray, window: int) -> list[np.ndarray]:
+    """For each content which of its first ``owned`` windows are a prefix of two or more of the shard's suffixes.
+
+    ``twice`` contents stand for several equal ones.
+    """
     sizes = np.array([len(c) for c in contents])
     data = np.frombuffer(b"".join(contents), dtype=np.uint8)
     ends = np.cumsum(sizes)
@@ -118,6 +137,115 @@ def resolve(contents: list[bytes], owned: np.ndarray, twice: np.ndarray, window:
     return [mark[a : a + o] for a, o in zip(starts, owned)]
 
 
+def distinct_strings(s: list[int], owned: list[int], contents: list[bytes], window: int):
+    """Sorted digests of the different windows of some contents, with kind and place of one of each. Those of several windows are marked already."""
+    grams = [mix(Hashes(Symbols([c], False).x).grams(window)[:o]).view(np.int64) for c, o in zip(contents, owned)]
+    w, first = np.unique(np.concatenate(grams), return_index=True)
+    kind = np.repeat(np.array(s, dtype=np.int64), owned)[first]
+    place = np.concatenate([np.arange(o, dtype=np.int32) for o in owned])[first]
+    return w, kind, place
+
+
+def in_shards(contents: DataFrame, window: int, shard_bytes: int) -> DataFrame:
+    """Runs that repeat within a shard, and the lists of anchors that a shard may share with its neighbours."""
+    runs, lists = (arrow_schema(x) for x in (RUNS, LISTS))
+    ddl = f"{RUNS}, shard long, w array<long>, kinds array<long>, place array<int>"
+    schema = arrow_schema(ddl)
+
+    def run(batches):
+        from pyspark import TaskContext
+
+        number = TaskContext.get().partitionId() << 32
+        rows, size = [], 0
+
+        def shard():
+            nonlocal number
+            number += 1
+            h, s, twice, owned, content = (list(c) for c in zip(*rows))
+            marks = repeats_of(content, np.array(owned), np.array(twice, dtype=np.int64), window)
+            out = [(a, b, runs_of(m), None, None, None, None) for a, b, m in zip(h, s, marks) if m.any()]
+            for edge in {h[0], h[-1]}:  # sorted by anchor, so these alone may go on in other shards
+                own = [i for i, a in enumerate(h) if a == edge]
+                w, kind, place = distinct_strings([s[i] for i in own], [owned[i] for i in own], [content[i] for i in own], window)
+                out.append((edge, None, None, number, w, kind, place))
+            return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*out), schema.types)], schema=schema)
+
+        for b in batches:
+            for row in rows_of(b, "h", "s", "twice", "owned", "content"):
+                rows.append(row)
+                size += len(row[-1])
+                if size >= shard_bytes:
+                    yield shard()
+                    rows, size = [], 0
+        if rows:
+            yield shard()
+
+    order = ["h", "s"]
+    return contents.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(run, ddl)
+
+
+def merged(lists: DataFrame) -> DataFrame:
+    """``(h, w)``: strings that two or more lists of an anchor hold.
+
+    The lists ``(h, shard, w)`` are cut into as many slices as their anchor has lists.
+    """
+    several = saved(lists.groupBy("h").agg(F.count("*").cast("int").alias("lists")).where("lists > 1"), "several")
+    slice_ddl, out_ddl = "h long, part int, shard long, w array<long>", "h long, w long"
+    slice_schema, out_schema = arrow_schema(slice_ddl), arrow_schema(out_ddl)
+
+    def cut(batches):
+        for b in batches:
+            for i, (h, shard, n) in enumerate(rows_of(b, "h", "shard", "lists")):
+                w = b.column("w")[i].values.to_numpy()
+                bounds = ((np.arange(1, n, dtype=object) * (1 << 64)) // n - (1 << 63)).astype(np.int64)
+                slices = np.split(w, np.searchsorted(w, bounds))
+                rows = [(h, p, shard, x) for p, x in enumerate(slices) if len(x)]
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*rows), slice_schema.types)], schema=slice_schema)
+
+    def merge(batches):
+        at, have, both = None, np.zeros(0, np.int64), []
+
+        def done():
+            w = np.unique(np.concatenate(both)) if both else have[:0]
+            return [pa.RecordBatch.from_arrays([pa.array(np.full(len(w), at[0])), pa.array(w)], schema=out_schema)] if len(w) else []
+
+        for b in batches:
+            for i, key in enumerate(rows_of(b, "h", "part")):
+                w = b.column("w")[i].values.to_numpy()
+                if key != at:
+                    yield from done()
+                    at, have, both = key, w, []
+                    continue
+                to = np.searchsorted(have, w)
+                known = have[np.minimum(to, len(have) - 1)] == w
+                both.append(w[known])
+                have = np.insert(have, to[~known], w[~known])
+        yield from done()
+
+    parts = lists.join(several, "h").select("h", "shard", "lists", "w").mapInArrow(cut, slice_ddl)
+    out = saved(parts.repartition("h", "part").sortWithinPartitions("h", "part", "shard").mapInArrow(merge, out_ddl), "merged")
+    discard(several)
+    return out
+
+
+def marked(window: int, shard_bytes: int):
+    """See ``passages.repeated``: repeats within shards, then those of several shards."""
+
+    def mark(contents: DataFrame) -> DataFrame:
+        found = saved(in_shards(contents, window, shard_bytes), "shards")
+        lists = found.where("shard IS NOT NULL").select("h", "shard", "w", "kinds", "place")
+        common = merged(lists.select("h", "shard", "w"))
+        one = lists.select("h", F.explode(F.arrays_zip("w", "kinds", "place")).alias("x")).select("h", "x.w", F.col("x.kinds").alias("s"), "x.place")
+        again = one.join(common, ["h", "w"]).groupBy("h", "s").agg(F.flatten(F.collect_list(F.array("place", "place"))).alias("runs"))
+        runs = found.where("shard IS NULL").select("h", "s", "runs").unionByName(again)
+        out = saved(runs.groupBy("h", "s").agg(F.flatten(F.collect_list("runs")).alias("runs")), "marks")
+        discard(found, common)
+        return out
+
+    return mark
+
+
 def finish(window: int):
     def one(text: bytes, runs):
         gone = covered(runs, window, len(text))
@@ -130,10 +258,6 @@ def finish(window: int):
 
 
 def substring_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 200, k: int = 32, shard_bytes: int = SHARD) -> DataFrame:
-    """Counts and the digest of what is left of every document.
-
-    An anchor is compared in memory if its spans, of less than two windows each,
-    surely fit in one shard; beyond that by digest.
-    """
+    """Counts and the digest of what is left of every document."""
     docs = with_uid(texts(docs, id_col, text_col))
-    return finished(docs, repeated(docs, window, k, False, resolve, max(1, shard_bytes // (2 * window)), shard_bytes), finish(window), SCHEMA)
+    return finished(docs, repeated(docs, window, k, False, marked(window, shard_bytes)), finish(window), SCHEMA)
