@@ -53,6 +53,20 @@ def slices(batch: pa.RecordBatch, rows: int = 1024):
         yield batch.slice(at, rows)
 
 
+def sized(batch: pa.RecordBatch, column: str = "text", most: int = 8 << 20):
+    """Parts of a batch of about ``most`` bytes of a column."""
+    import numpy as np
+    import pyarrow.compute as pc
+
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy().astype(np.int64))
+    at = 0
+    while at < batch.num_rows:
+        before = int(ends[at - 1]) if at else 0
+        to = max(at + 1, int(np.searchsorted(ends, before + most, side="right")))
+        yield batch.slice(at, to - at)
+        at = to
+
+
 def map_rows(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], Iterator[dict] | dict]], schema: str) -> DataFrame:
     """``mapInArrow`` over batches; ``make`` runs once in each task and returns what turns a batch into columns."""
     arrow = arrow_schema(schema)

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracklake.llm.common import arrow_schema, discard, saved, texts
-from tracklake.llm.passages import Symbols, covered, finished, repeated, rows_of, runs_of, signed, with_uid
+from tracklake.llm.passages import Symbols, covered, finished, repeated, rows_of, runs_of, with_uid
 from tracklake.llm.repeats import Hashes, mix
 
 KEY = 8
@@ -39,8 +39,6 @@ KEY = 8
 SHARD = 1 << 20
 SCHEMA = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 RUNS = "h long, s long, runs array<int>"
-#: Sorted digests ``w`` of an anchor's strings in one shard, with the kind and the place of each.
-LISTS = "h long, shard long, w array<long>, s array<long>, place array<int>"
 
 
 def suffix_array(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -148,8 +146,7 @@ def distinct_strings(s: list[int], owned: list[int], contents: list[bytes], wind
 
 def in_shards(contents: DataFrame, window: int, shard_bytes: int) -> DataFrame:
     """Runs that repeat within a shard, and the lists of anchors that a shard may share with its neighbours."""
-    runs, lists = (arrow_schema(x) for x in (RUNS, LISTS))
-    ddl = f"{RUNS}, shard long, w array<long>, kinds array<long>, place array<int>"
+    ddl = f"{RUNS}, shard long, w array<long>, kinds array<long>, place array<int>"  # of a list: sorted digests of its strings, with kind and place of each
     schema = arrow_schema(ddl)
 
     def run(batches):
@@ -185,46 +182,60 @@ def in_shards(contents: DataFrame, window: int, shard_bytes: int) -> DataFrame:
 
 
 def merged(lists: DataFrame) -> DataFrame:
-    """``(h, w)``: strings that two or more lists of an anchor hold.
+    """Runs of the strings that two or more lists of an anchor hold.
 
-    The lists ``(h, shard, w)`` are cut into as many slices as their anchor has lists.
+    The lists are cut into as many slices as their anchor has lists.
     """
     several = saved(lists.groupBy("h").agg(F.count("*").cast("int").alias("lists")).where("lists > 1"), "several")
-    slice_ddl, out_ddl = "h long, part int, shard long, w array<long>", "h long, w long"
-    slice_schema, out_schema = arrow_schema(slice_ddl), arrow_schema(out_ddl)
+    ddl = "h long, part int, shard long, w array<long>, kinds array<long>, place array<int>"
+    schema, out_schema = arrow_schema(ddl), arrow_schema(RUNS)
+
+    def columns(b, i):
+        return [b.column(c)[i].values.to_numpy() for c in ("w", "kinds", "place")]
 
     def cut(batches):
         for b in batches:
             for i, (h, shard, n) in enumerate(rows_of(b, "h", "shard", "lists")):
-                w = b.column("w")[i].values.to_numpy()
+                w, kinds, place = columns(b, i)
                 bounds = ((np.arange(1, n, dtype=object) * (1 << 64)) // n - (1 << 63)).astype(np.int64)
-                slices = np.split(w, np.searchsorted(w, bounds))
-                rows = [(h, p, shard, x) for p, x in enumerate(slices) if len(x)]
+                at = np.concatenate(([0], np.searchsorted(w, bounds), [len(w)]))
+                rows = [(h, p, shard, w[x:y], kinds[x:y], place[x:y]) for p, (x, y) in enumerate(zip(at[:-1], at[1:])) if x < y]
                 if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*rows), slice_schema.types)], schema=slice_schema)
+                    yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*rows), schema.types)], schema=schema)
 
     def merge(batches):
-        at, have, both = None, np.zeros(0, np.int64), []
+        key, slices = None, []
 
         def done():
-            w = np.unique(np.concatenate(both)) if both else have[:0]
-            return [pa.RecordBatch.from_arrays([pa.array(np.full(len(w), at[0])), pa.array(w)], schema=out_schema)] if len(w) else []
-
-        for b in batches:
-            for i, key in enumerate(rows_of(b, "h", "part")):
-                w = b.column("w")[i].values.to_numpy()
-                if key != at:
-                    yield from done()
-                    at, have, both = key, w, []
-                    continue
+            have, both = slices[0][0], []
+            for w, _, _ in slices[1:]:
                 to = np.searchsorted(have, w)
                 known = have[np.minimum(to, len(have) - 1)] == w
                 both.append(w[known])
                 have = np.insert(have, to[~known], w[~known])
-        yield from done()
+            both = np.unique(np.concatenate(both)) if both else have[:0]
+            if not len(both):
+                return
+            w, kinds, place = (np.concatenate(c) for c in zip(*slices))
+            hit = both[np.minimum(np.searchsorted(both, w), len(both) - 1)] == w
+            order = np.lexsort((place[hit], kinds[hit]))
+            kinds, place = kinds[hit][order], place[hit][order]
+            ids, first = np.unique(kinds, return_index=True)
+            runs = pa.ListArray.from_arrays(pa.array(np.append(2 * first, 2 * len(place)).astype(np.int32)), pa.array(np.repeat(place, 2)))
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), key[0])), pa.array(ids), runs], schema=out_schema)
 
-    parts = lists.join(several, "h").select("h", "shard", "lists", "w").mapInArrow(cut, slice_ddl)
-    out = saved(parts.repartition("h", "part").sortWithinPartitions("h", "part", "shard").mapInArrow(merge, out_ddl), "merged")
+        for b in batches:
+            for i, now in enumerate(rows_of(b, "h", "part")):
+                if now != key and slices:
+                    yield from done()
+                    slices = []
+                key = now
+                slices.append(columns(b, i))
+        if slices:
+            yield from done()
+
+    parts = lists.join(several, "h").select("h", "shard", "lists", "w", "kinds", "place").mapInArrow(cut, ddl)
+    out = saved(parts.repartition("h", "part").sortWithinPartitions("h", "part", "shard").mapInArrow(merge, RUNS), "merged")
     discard(several)
     return out
 
@@ -234,11 +245,8 @@ def marked(window: int, shard_bytes: int):
 
     def mark(contents: DataFrame) -> DataFrame:
         found = saved(in_shards(contents, window, shard_bytes), "shards")
-        lists = found.where("shard IS NOT NULL").select("h", "shard", "w", "kinds", "place")
-        common = merged(lists.select("h", "shard", "w"))
-        one = lists.select("h", F.explode(F.arrays_zip("w", "kinds", "place")).alias("x")).select("h", "x.w", F.col("x.kinds").alias("s"), "x.place")
-        again = one.join(common, ["h", "w"]).groupBy("h", "s").agg(F.flatten(F.collect_list(F.array("place", "place"))).alias("runs"))
-        runs = found.where("shard IS NULL").select("h", "s", "runs").unionByName(again)
+        common = merged(found.where("shard IS NOT NULL").select("h", "shard", "w", "kinds", "place"))
+        runs = found.where("shard IS NULL").select("h", "s", "runs").unionByName(common)
         out = saved(runs.groupBy("h", "s").agg(F.flatten(F.collect_list("runs")).alias("runs")), "marks")
         discard(found, common)
         return out
