@@ -10,7 +10,7 @@ Documents of equal sets become one *class* first. Candidates are then compared
 with full sets, without ever listing a bucket's pairs: each bucket's members are
 compared with its pivot, connected components are taken, and buckets that
 still hold several components choose another pivot. The members of buckets that are
-then still apart are compared across components where they can be alike at all:
+then still apart are compared across components where they can be alike at all (every pair that gets this far is within reach of the likeness asked for):
 with shingles in an order from rare to common, alike sets share one so early
 in both that what follows suffices for the needed overlap (prefix and positional
 filters, which lose no link). A link is left out only where its ends are known
@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracklake.llm.common import arrow_schema, saved, texts
+from tracklake.llm.common import arrow_schema, discard, saved, texts
 from tracklake.llm.components import connected_components
 from tracklake.llm.passages import Symbols, chunks, release, signed, with_uid
 from tracklake.llm.repeats import Hashes, U, mix
@@ -110,7 +110,7 @@ def confirmed(pairs: DataFrame, sets: DataFrame, shingle: int, percent: int) ->
 
     A pivot's members are dealt to groups of about ``TOGETHER``, each with a copy of the pivot's text.
     """
-    many = pairs.groupBy("p").agg(F.ceil(F.count("*") / TOGETHER).cast("int").alias("groups"))
+    many = saved(pairs.groupBy("p").agg(F.ceil(F.count("*") / TOGETHER).cast("int").alias("groups")), "pivots")
     pairs = pairs.join(many, "p").select("p", F.pmod(F.xxhash64("x"), F.col("groups")).cast("int").alias("g"), "x")
     pivots = many.select(F.col("p").alias("uid"), "p", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("g"), F.lit(0).alias("kind"))
     rows = pivots.unionByName(pairs.select(F.col("x").alias("uid"), "p", "g", F.lit(1).alias("kind"))).join(sets, "uid")
@@ -171,11 +171,13 @@ def labelled(docs: DataFrame, shingle: int, percent: int, bands: int, rows: int)
     """``(uid, n, label)`` of every document; a null label where it is alone in its class and component."""
     spark = docs.sparkSession
     sets = saved(sketched(docs, shingle, bands, rows), "sketches")
-    classes = sets.where("n > 0").groupBy("n", "d1", "d2").agg(F.min("uid").alias("rep"), F.count("*").alias("copies"))
-    one = saved(sets.join(classes, ["n", "d1", "d2"], "left").select("uid", "n", F.coalesce("rep", "uid").alias("rep"), F.coalesce("copies", F.lit(1)).alias("copies"), F.when(F.col("uid") == F.col("rep"), F.col("bands")).alias("bands")), "classes")
+    classes = saved(sets.where("n > 0").groupBy("n", "d1", "d2").agg(F.min("uid").alias("rep")), "classes")
+    one = saved(sets.join(classes, ["n", "d1", "d2"], "left").select("uid", "n", F.coalesce("rep", "uid").alias("rep"), F.when(F.col("uid") == F.col("rep"), F.col("bands")).alias("bands")), "ones")
+    discard(sets, classes)
     member = one.where("bands IS NOT NULL").select("uid", "n", F.explode("bands").alias("key"))
-    full = member.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
+    full = saved(member.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key"), "full")
     bucket = saved(member.join(full, "key"), "buckets")
+    discard(full)
     release(spark)
     text = saved(docs.join(bucket.select("uid").distinct(), "uid").select("uid", "text"), "candidates")
     release(spark)
@@ -185,14 +187,14 @@ def labelled(docs: DataFrame, shingle: int, percent: int, bands: int, rows: int)
         if labels is None:
             left = bucket.withColumn("label", F.col("uid"))
         else:
-            left = bucket.join(labels.withColumnRenamed("v", "uid"), "uid", "left").withColumn("label", F.coalesce("label", "uid"))
-            apart = left.groupBy("key").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a <> b").select("key")
-            left = saved(left.join(apart, "key"), "apart")
+            left = saved(bucket.join(labels.withColumnRenamed("v", "uid"), "uid", "left").withColumn("label", F.coalesce("label", "uid")), "labelled")
+            apart = saved(left.groupBy("key").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a <> b").select("key"), "apart")
+            left = saved(left.join(apart, "key"), "left")
             if left.isEmpty():
                 break
         like = f"100 * least(n, m) >= {percent} * greatest(n, m) AND label <> other"  # sets of too different sizes can't be alike
         if turn < PIVOT_ROUNDS:
-            pivot = left.groupBy("key").agg(F.min(F.struct(F.xxhash64("uid", F.lit(turn)).alias("o"), F.col("uid").alias("p"), F.col("n").alias("m"), F.col("label").alias("other"))).alias("s")).select("key", "s.p", "s.m", "s.other")
+            pivot = saved(left.groupBy("key").agg(F.min(F.struct(F.xxhash64("uid", F.lit(turn)).alias("o"), F.col("uid").alias("p"), F.col("n").alias("m"), F.col("label").alias("other"))).alias("s")).select("key", "s.p", "s.m", "s.other"), "chosen")
             pairs = left.join(pivot, "key").where(like).select("p", F.col("uid").alias("x")).distinct()
         else:
             pairs = early_pairs(left, text, shingle, percent)
@@ -209,7 +211,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """``(doc_id, n_shingles, component_id, kept)`` of every document."""
     docs = with_uid(texts(docs, id_col, text_col))
     found = labelled(docs.select("uid", "text"), shingle, percent, bands, rows)
-    ids = docs.select("uid", "doc_id")
-    least = found.join(ids, "uid").groupBy("label").agg(F.min("doc_id").alias("component_id"))
-    out = found.join(ids, "uid").join(least, "label")
+    if "saved_at" not in vars(docs):  # ids are unique, so a label is its component's least id
+        out = found.select(F.col("uid").alias("doc_id"), "n", F.col("label").alias("component_id"))
+    else:
+        found = saved(found.join(docs.select("uid", "doc_id"), "uid"), "found")
+        least = saved(found.groupBy("label").agg(F.min("doc_id").alias("component_id")), "least")
+        out = found.join(least, "label")
     return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)).alias("kept"))
