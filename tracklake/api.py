@@ -104,7 +104,7 @@ class TrackFile:
             out = out.where(F.exists(F.array(*names), lambda x: x != 0))
         if t.denominator != 1.0:
             out = out.withColumns({n: F.col(n) / F.lit(t.denominator) for n in names})
-        order = out.join(F.broadcast(t.genome.select("chrom", "chrom_id")), "chrom")
+        order = out.join(t.genome.select("chrom", "chrom_id"), "chrom")  # Spark broadcasts a genome if its size allows
         return order.orderBy("chrom_id", "begin", "end", "region_id").select("chrom", "begin", "end", *names)
 
     def values(self, spec=None) -> DataFrame:
@@ -118,7 +118,7 @@ class TrackFile:
             yield r["chrom"], r["pos"], r["value"]
 
     def to_numpy(self, spec):
-        """A dense array per region, as big as the region."""
+        """A dense array per region, as big as the region: the caller bounds what the driver holds."""
         import numpy as np
 
         rows = self.regions(spec).orderBy("region_id").collect()
@@ -179,6 +179,28 @@ class TrackFile:
         """Any Spark aggregates of ``value`` and ``w`` (positions) per region."""
         return stats.per_region(self.regions(spec), self.track.runs, *aggs, bin_width=self.track.tile)
 
+    def apply(self, spec, make, schema: str) -> DataFrame:
+        """A user's own aggregate: ``make(frame)`` gets a region's runs as pandas ``(region_id, chrom, begin, end, track, value)``, clipped and in order, and returns a frame of ``schema``."""
+        cut = intervals.clipped(self.regions(spec), self.track.runs, self.track.tile)
+        return cut.groupBy("region_id").applyInPandas(lambda rows: make(rows.sort_values(["track", "begin"], ignore_index=True)), schema)
+
+    def scan(self, make, schema: str, spec=None) -> DataFrame:
+        """A user's own scan: ``make(batches)`` gets a task's runs as Arrow batches, in no order across tasks, and yields batches of ``schema``."""
+        runs = self.track.runs if spec is None else intervals.clipped(self.regions(spec), self.track.runs, self.track.tile)
+        return runs.select("track", "chrom", "begin", "end", "value").mapInArrow(make, schema)
+
+    def matrix_resample(self, width: int, spec=None) -> DataFrame:
+        """Bins' means with a column for each track."""
+        names = self.list_tracks()
+        bins = resample.tumbling(self.regions(spec), width)
+        means = stats.by_track(bins, self.track.runs, names, "mean", self.track.tile)
+        return bins.select("region_id", "source_id", "bin").join(means, "region_id").select("source_id", "bin", "chrom", "begin", "end", *names)
+
+    def from_position(self, chrom: str, pos: int) -> DataFrame:
+        """Runs of a chromosome from a position on, the first one clipped to it: what a cursor reads after a seek."""
+        cut = self.track.runs.where((F.col("chrom") == chrom) & (F.col("end") > pos))
+        return cut.withColumn("begin", F.greatest("begin", F.lit(pos).cast("long"))).orderBy("track", "begin")
+
     def resample(self, width: int, spec=None, kind: str = "mean", for_index: bool = False) -> DataFrame:
         return resample.resampled(self.regions(spec), self.track.runs, resample.adjusted(width) if for_index else width, kind, self.track.tile)
 
@@ -258,6 +280,6 @@ class TrackBuilder:
         runs = self.spark.createDataFrame([], "chrom string, begin long, end long, value double")
         for p in self.parts:
             runs = runs.unionByName(p)
-        runs = runs.join(F.broadcast(genome.select("chrom")), "chrom", "left_semi").withColumn("value", numeric.to_stored(F.col("value"), self.denominator))
+        runs = runs.join(genome.select("chrom"), "chrom", "left_semi").withColumn("value", numeric.to_stored(F.col("value"), self.denominator))
         full = intervals.merge_runs(intervals.fill_gaps(runs, genome), ["chrom"], ["value"])
         return TrackFile(Track(full.select(F.lit(self.name).alias("track"), "chrom", "begin", "end", "value"), genome, self.denominator))

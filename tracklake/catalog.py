@@ -4,9 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tracklake.functions import alignment, numeric
+from tracklake import serve
+from tracklake.api import TrackFile
+from tracklake.functions import alignment as reads
+from tracklake.functions import numeric, regions
+from tracklake.model import Track
 from tracklake.operators import index, intervals, resample, stats
 from tracklake.plans import signals as s
+from tracklake.sources import alignment, files, text
 
 T, BIN = s.TILE, s.TILE
 ISLAND, ISLAND_LEN = 60, 20
@@ -50,13 +55,13 @@ def pileup_depth(spark, sf):
 
 @query(s.READS_SQL, s.GENOME_SQL, s.pileup_sql(where="mapq >= 20 AND (flag & 256) = 256 AND (flag & 16) = 0"), body=f"SELECT {RUN_COLS}, v AS value FROM runs")
 def pileup_filtered_mapq_flag(spark, sf):
-    return intervals.pileup(alignment.passing(s.reads(spark, sf), 20, "+256,~16"), s.genome(spark), tile=T)
+    return intervals.pileup(reads.passing(s.reads(spark, sf), 20, "+256,~16"), s.genome(spark), tile=T)
 
 
 @query(s.READS_SQL, s.GENOME_SQL, "g2 AS (SELECT * FROM genome WHERE regexp_matches(chrom, '^[AN]$'))", s.pileup_sql(where="mapq >= 60 OR chrom IN ('A', 'N') AND mapq >= 30").replace("SELECT * FROM genome", "SELECT * FROM g2"), body=f"SELECT {RUN_COLS}, v AS value FROM runs WHERE chrom <> 'R'")
 def pileup_chrom_filter(spark, sf):
     g = s.genome(spark).where(F.col("chrom").rlike("^[AN]$"))
-    return intervals.pileup(alignment.passing(s.reads(spark, sf), 30, None, "^[AN]$"), g, tile=T)
+    return intervals.pileup(reads.passing(s.reads(spark, sf), 30, None, "^[AN]$"), g, tile=T)
 
 
 @query(
@@ -141,7 +146,7 @@ def view_region_rle(spark, sf):
 def view_ordered(spark, sf):
     """Views come in the genome's order; rows alone are compared."""
     g = s.genome(spark)
-    return s.runs(spark, sf).join(F.broadcast(g), "chrom").orderBy("chrom_id", "begin").select("chrom", "begin", "end", "value")
+    return s.runs(spark, sf).join(g, "chrom").orderBy("chrom_id", "begin").select("chrom", "begin", "end", "value")
 
 
 @query(*OV, "px AS (SELECT region_id, chrom, unnest(range(greatest(rb, b), least(re, e))) AS pos, v FROM ov WHERE w > 0)", body="SELECT region_id, chrom, CAST(pos AS BIGINT) AS pos, v AS value FROM px")
@@ -361,15 +366,174 @@ def sum_index_query(spark, sf):
     return index.query(s.regions(spark), runs, index.build(runs, 128), 128, BIN)
 
 
+@query(s.BASE_SQL, "cx AS (SELECT chrom, b, e, v, unnest(range(b // 65536, (e - 1) // 65536 + 1)) AS bin FROM runs)", body=f"SELECT chrom, CAST(bin * 65536 AS BIGINT) AS \"begin\", CAST(least((bin + 1) * 65536, {s.SIZE}) AS BIGINT) AS \"end\", printf('Sum(%.5f)', CAST(sum(v * (least(e, (bin + 1) * 65536) - greatest(b, bin * 65536))) AS DOUBLE)) AS sum FROM cx GROUP BY chrom, bin")
+def index_listing(spark, sf):
+    return serve.index_lines(_file(spark, sf).with_index())
+
+
+# --- text sources and sinks, cursors, other shapes -----------------------------------------
+
+
+def _file(spark, sf) -> TrackFile:
+    return TrackFile(Track(s.runs(spark, sf).select(F.lit("depth").alias("track"), "chrom", "begin", "end", "value"), s.genome(spark), tile=T))
+
+
+def _lines(spark, sf, rows, purpose) -> str:
+    """Lines of text written to the shared folder."""
+    path = files.scratch(spark, purpose)
+    rows.write.text(path)
+    return path
+
+
+_EV = "ev AS (SELECT event_id, event_type, date_diff('day', DATE '2024-01-01', CAST(ts AS DATE)) * 24 + hour(ts) AS h, CAST(round(value * 100) AS BIGINT) AS v FROM events)"
+
+
+def _events(spark, sf):
+    hour = F.expr("datediff(to_date(ts), '2024-01-01') * 24 + hour(ts)").cast("long")
+    return s.table(spark, sf, "events").select("event_id", "event_type", hour.alias("h"), F.round(F.col("value") * 100).cast("long").alias("v"))
+
+
+@query(_EV, body="SELECT event_type AS chrom, CAST(h AS BIGINT) AS \"begin\", CAST(CASE WHEN event_id % 2 = 0 THEN h + 3 ELSE h + 1 END AS BIGINT) AS \"end\", CAST(v AS DOUBLE) / 100 AS value FROM ev WHERE event_id % 5 <> 0")
+def bedgraph_source(spark, sf):
+    """Intervals of four columns, points of three, and lines that are neither."""
+    e = _events(spark, sf)
+    value = (F.col("v") / F.lit(100.0)).cast("string")
+    line = F.when(F.col("event_id") % 5 == 0, F.concat_ws("\t", "event_type", F.lit("x"), "h", value)).when(F.col("event_id") % 2 == 0, F.concat_ws("\t", "event_type", "h", F.col("h") + 3, value)).otherwise(F.concat_ws("\t", "event_type", "h", value))
+    return text.bedgraph(spark, _lines(spark, sf, e.select(line.alias("value")), "bedgraph"))
+
+
+@query(body="SELECT n_name AS chrom, CAST(1000 + n_nationkey AS BIGINT) AS size FROM nation WHERE n_nationkey % 7 <> 0 AND n_name NOT LIKE '% %'")
+def genome_source(spark, sf):
+    n = s.table(spark, sf, "nation").where("NOT n_name LIKE '% %'")
+    line = F.concat_ws("\t", "n_name", F.when(F.col("n_nationkey") % 7 == 0, F.lit("unknown")).otherwise((F.col("n_nationkey") + 1000).cast("string")))
+    return text.genome(spark, _lines(spark, sf, n.select(line.alias("value")), "genome")).select("chrom", "size")
+
+
+_BED = "SELECT l_returnflag AS chrom, CAST(l_linenumber * 10 AS BIGINT) AS \"begin\", CAST(l_linenumber * 10 + l_suppkey AS BIGINT) AS \"end\" FROM lineitem WHERE l_linenumber < 6"
+
+
+def _bed(spark, sf, bad: bool):
+    x = s.table(spark, sf, "lineitem").where("l_linenumber < 6 OR l_linenumber = 6 AND l_partkey % 2 = 0")
+    line = F.concat_ws("\t", "l_returnflag", F.col("l_linenumber") * 10, F.col("l_linenumber") * 10 + F.col("l_suppkey"), F.lit("further"))
+    return x.select(F.when(F.col("l_linenumber") < 6, line).otherwise(F.lit("# note" if not bad else "no region")).alias("value"))
+
+
+@query(body=_BED)
+def bed_source(spark, sf):
+    return text.bed(spark, _lines(spark, sf, _bed(spark, sf, True), "bed")).drop("region_id")
+
+
+@query(body=_BED)
+def bed_source_strict(spark, sf):
+    return text.bed(spark, _lines(spark, sf, _bed(spark, sf, False), "bed"), strict=True).drop("region_id")
+
+
+@query(body="SELECT DISTINCT p_size AS value FROM part")
+def dictionary_source(spark, sf):
+    rows = s.table(spark, sf, "part").select(F.col("p_size").cast("string").alias("value")).distinct().unionByName(spark.createDataFrame([("none",)], "value string"))
+    return text.dictionary(spark, _lines(spark, sf, rows, "dictionary"))
+
+
+@query(s.BASE_SQL, body=f"SELECT {RUN_COLS}, CAST(v AS DOUBLE) AS value FROM runs")
+def bedgraph_sink(spark, sf):
+    """Written as text with a header, and read back."""
+    path = files.scratch(spark, "bedgraph")
+    text.write_bedgraph(s.runs(spark, sf), path, header=True)
+    return text.bedgraph(spark, path)
+
+
+_ALN = "al AS (SELECT l_orderkey, l_linenumber, l_returnflag AS chrom, l_suppkey AS b, CAST(l_quantity AS INTEGER) AS q, CAST(16 * (l_linenumber % 2) AS INTEGER) AS f, l_partkey % 40 + 1 AS m, l_linenumber AS d FROM lineitem)"
+
+
+@query(_ALN, body="SELECT chrom, CAST(b AS BIGINT) AS \"begin\", CAST(b + 2 * m + d AS BIGINT) AS \"end\", q AS mapq, f AS flag FROM al")
+def alignment_text_source(spark, sf):
+    x = s.table(spark, sf, "lineitem")
+    m, one = F.col("l_partkey") % 40 + 1, lambda v: F.lit(v).cast("string")
+    cigar = F.concat(one("2S"), m.cast("string"), one("M1I"), F.col("l_linenumber").cast("string"), one("D"), m.cast("string"), one("M"))
+    line = F.concat_ws("\t", F.concat(one("r"), "l_orderkey"), 16 * (F.col("l_linenumber") % 2), "l_returnflag", F.col("l_suppkey") + 1, F.col("l_quantity").cast("int"), cigar, one("*"), one("0"), one("0"), one("*"), one("*"))
+    rows = x.select(line.alias("value")).unionByName(spark.createDataFrame([("@HD\tVN:1.6",)], "value string"))
+    return alignment.sam(spark, _lines(spark, sf, rows, "alignments")).select("chrom", "begin", "end", "mapq", "flag")
+
+
+@query(s.BASE_SQL, body=f"SELECT 'depth' AS track, chrom, CAST(greatest(b, 777) AS BIGINT) AS \"begin\", e AS \"end\", v AS value FROM runs WHERE chrom = 'R' AND e > 777")
+def seek_from_position(spark, sf):
+    return _file(spark, sf).from_position("R", 777)
+
+
+@query(s.BASE_SQL, "pt AS (SELECT chrom, CAST(unnest(range(-3, 3000, 37)) AS BIGINT) AS pos FROM genome)", "hi AS (SELECT * FROM runs WHERE v > 40)", body='SELECT chrom, pos, CAST(h.b AS BIGINT) AS "begin", CAST(h.e AS BIGINT) AS "end", h.v AS value FROM pt ASOF LEFT JOIN hi h USING (chrom) WHERE false UNION ALL SELECT pt.chrom, pt.pos, m.b, m.e, m.v FROM pt LEFT JOIN LATERAL (SELECT b, e, v FROM hi WHERE hi.chrom = pt.chrom AND hi.b <= pt.pos ORDER BY b DESC LIMIT 1) m ON true')
+def as_of_run(spark, sf):
+    points = s.genome(spark).select("chrom", F.explode(F.sequence(F.lit(-3).cast("long"), F.lit(2999).cast("long"), F.lit(37).cast("long"))).alias("pos"))
+    return intervals.last_before(points, s.runs(spark, sf).where("value > 40"), T)
+
+
+_OVER = "sec AS (SELECT chrom, b, e, v + 1000 AS v FROM runs WHERE v > 40), co AS (SELECT r.chrom, r.b, r.e, CASE WHEN r.v > 40 THEN r.v + 1000 ELSE 0 END AS v FROM runs r)"
+
+
+@query(s.BASE_SQL, _OVER, s.merged_sql("co", "chrom", "v"), body=f"SELECT {RUN_COLS}, v AS value FROM merged")
+def secondary_coalesce(spark, sf):
+    """A table of zeros with runs laid over it."""
+    zeros = s.genome(spark).select("chrom", F.lit(0).cast("long").alias("begin"), F.col("size").alias("end"), F.lit(0).alias("value"))
+    over = s.runs(spark, sf).where("value > 40").withColumn("value", F.col("value") + 1000)
+    return intervals.coalesced(zeros, over, T)
+
+
+@query(body="SELECT chrom FROM (VALUES ('chr1'), ('chr22'), ('chrX'), ('chr'), ('1'), ('chr1_alt'), ('xchr3')) AS t(chrom) WHERE regexp_full_match(chrom, 'chr[0-9]+')")
+def numbered_chromosomes(spark, sf):
+    return regions.numbered(spark.createDataFrame([(c,) for c in ("chr1", "chr22", "chrX", "chr", "1", "chr1_alt", "xchr3")], "chrom string"))
+
+
+@query(*BINS, _binned("65536"), s.OVERLAPS_SQL, body='SELECT source_id, bin, chrom, rb AS "begin", re AS "end", CAST(coalesce(sum(v * w) / sum(w), 0) AS DOUBLE) AS mean FROM ov GROUP BY ALL')
+def resample_for_index(spark, sf):
+    return _file(spark, sf).resample(70, s.regions(spark, s.WHOLE_ROWS), for_index=True)
+
+
+@query(s.TRACKS_SQL, s.WHOLE_SQL, _binned("70"), "ov AS (SELECT rg.*, track, v, CASE WHEN b IS NOT NULL THEN least(re, e) - greatest(rb, b) END AS w FROM rg LEFT JOIN mruns ON rg.chrom = mruns.chrom AND b < re AND e > rb)", body="SELECT source_id, bin, chrom, rb AS \"begin\", re AS \"end\", CAST(coalesce(sum(v * w) FILTER (track = 'F') / sum(w) FILTER (track = 'F'), 0) AS DOUBLE) AS \"F\", CAST(coalesce(sum(v * w) FILTER (track = 'O') / sum(w) FILTER (track = 'O'), 0) AS DOUBLE) AS \"O\" FROM ov GROUP BY ALL")
+def matrix_resample(spark, sf):
+    return TrackFile(Track(s.track_runs(spark, sf), s.genome(spark), tile=T)).matrix_resample(70, s.regions(spark, s.WHOLE_ROWS))
+
+
+@query(*OV, "cl AS (SELECT region_id, greatest(rb, b) AS b, v, w FROM ov WHERE w > 0)", body="SELECT region_id, CAST(sum(w) FILTER (v > 10) AS BIGINT) AS above, count(*) AS runs FROM cl GROUP BY region_id HAVING sum(w) FILTER (v > 10) > 0")
+def user_aggregate(spark, sf):
+    """A user's own aggregate over the rows of each region."""
+
+    def above(rows):
+        import pandas as pd
+
+        n = int((rows["end"] - rows["begin"])[rows["value"] > 10].sum())
+        return pd.DataFrame({"region_id": rows["region_id"][:1] if n else [], "above": [n] if n else [], "runs": [len(rows)] if n else []})
+
+    return _file(spark, sf).apply(s.regions(spark), above, "region_id long, above long, runs long")
+
+
+@query(s.BASE_SQL, body="SELECT chrom, CAST(sum(e - b) AS BIGINT) AS positions FROM runs WHERE v % 2 = 1 GROUP BY chrom")
+def user_scan(spark, sf):
+    """A user's own scan over each task's runs, finished by a partial aggregate."""
+
+    def odd(batches):
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        for b in batches:
+            x = b.filter(pc.equal(pc.bit_wise_and(b["value"], 1), 1))
+            yield pa.RecordBatch.from_arrays([x["chrom"], pc.subtract(x["end"], x["begin"])], names=["chrom", "positions"])
+
+    return _file(spark, sf).scan(odd, "chrom string, positions long").groupBy("chrom").agg(F.sum("positions").alias("positions"))
+
+
+@query(body="SELECT event_type, CAST(json_extract_string(props, '$.k') AS VARCHAR) AS k, count(*) AS n FROM events GROUP BY ALL")
+def json_property(spark, sf):
+    return s.table(spark, sf, "events").groupBy("event_type", F.get_json_object("props", "$.k").alias("k")).agg(F.count("*").alias("n"))
+
+
 # --- functions ---------------------------------------------------------------------------
 
 _CIGARS = ["10M", "5M2I3D1N", "3S10=2X4H", "", "100M50N100M", "7P3M"]
-_LENGTHS = [sum(int(n) for n, o in __import__("re").findall(r"(\d+)([A-Z=])", c) if o in alignment.ON_REFERENCE) for c in _CIGARS]
+_LENGTHS = [sum(int(n) for n, o in __import__("re").findall(r"(\d+)([A-Z=])", c) if o in reads.ON_REFERENCE) for c in _CIGARS]
 
 
 @query(body="SELECT cigar, CAST(coalesce(list_sum(list_transform(regexp_extract_all(cigar, '(\\d+)[MDN=X]', 1), lambda x: CAST(x AS INTEGER))), 0) AS INTEGER) AS ref_length FROM (VALUES " + ", ".join(f"('{c}')" for c in _CIGARS) + ") AS t(cigar)")
 def cigar_ref_length(spark, sf):
-    return spark.createDataFrame([(c,) for c in _CIGARS], "cigar string").select("cigar", alignment.reference_length("cigar").alias("ref_length"))
+    return spark.createDataFrame([(c,) for c in _CIGARS], "cigar string").select("cigar", reads.reference_length("cigar").alias("ref_length"))
 
 
 @query(body="SELECT event_type, time_bucket(INTERVAL '6 hours', ts) AS start, count(*) AS n, CAST(sum(CAST(round(value * 100) AS BIGINT)) AS BIGINT) AS total FROM events GROUP BY ALL")

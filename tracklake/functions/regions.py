@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import re
 
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
 TEXT = re.compile(r"^(?P<chrom>[^:]+)(?::(?P<begin>\d+)?(?:-(?P<end>\d+)?)?)?$")
 
 
@@ -32,3 +35,8 @@ def parse_regions(specs, sizes: dict[str, int]) -> list[tuple[int, str, int, int
     if isinstance(specs, (str, tuple)):
         specs = [specs]
     return [(i, *r) for i, x in enumerate(specs) if (r := parse_region(x, sizes)) is not None]
+
+
+def numbered(df: DataFrame, column: str = "chrom") -> DataFrame:
+    """Rows of chromosomes named ``chr`` and a number."""
+    return df.where(F.col(column).rlike("^chr[0-9]+$"))

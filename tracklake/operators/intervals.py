@@ -155,3 +155,38 @@ def aligned(runs: DataFrame, tracks: list[str], tile: int = TILE) -> DataFrame:
     w = Window.partitionBy("chrom", "_tile").orderBy("begin")
     wide = at.select("chrom", "_tile", "begin", F.coalesce(F.lead("begin").over(w), F.col("_end")).alias("end"), *[F.last(t, ignorenulls=True).over(w).alias(t) for t in tracks])
     return stitched(_merged(wide, ["chrom", "_tile"], ["chrom"], tracks), ["chrom"], tracks, tile)
+
+
+def coalesced(primary: DataFrame, secondary: DataFrame, tile: int = TILE) -> DataFrame:
+    """Runs of ``primary`` with those of ``secondary`` laid over them; a stretch that ``secondary`` lacks keeps its value.
+
+    ``primary`` covers its genome; both have ``(chrom, begin, end, value)``.
+    """
+    both = primary.select(F.lit("p").alias("track"), "chrom", "begin", "end", "value").unionByName(secondary.select(F.lit("s").alias("track"), "chrom", "begin", "end", "value"))
+    pieces = cut_at_tiles(both, tile)
+    ends = pieces.where("track = 's'").select("track", "chrom", F.col("end").alias("begin"), F.col("end"), F.lit(None).cast("int").alias("value"), "_tile", F.lit(True).alias("stop"))
+    at = pieces.withColumn("stop", F.lit(False)).unionByName(ends).where("`begin` < (_tile + 1) * %d" % tile)
+    own = lambda t: F.max(F.when((F.col("track") == t) & ~F.col("stop"), F.col("value")))
+    step = at.groupBy("chrom", "_tile", "begin").agg(F.max(F.when(F.col("track") == "p", F.col("end"))).alias("_end"), own("p").alias("p"), own("s").alias("s"), F.max(F.when(F.col("track") == "s", 1)).alias("turn"))
+    w = Window.partitionBy("chrom", "_tile").orderBy("begin")
+    base = F.last("p", ignorenulls=True).over(w)
+    over = F.last(F.when(F.col("turn") == 1, F.struct("s")), ignorenulls=True).over(w)
+    wide = step.select("chrom", "_tile", "begin", F.coalesce(F.lead("begin").over(w), F.last("_end", ignorenulls=True).over(w)).alias("end"), F.coalesce(over["s"], base).alias("value"))
+    return stitched(_merged(wide, ["chrom", "_tile"], ["chrom"], ["value"]), ["chrom"], ["value"], tile)
+
+
+def last_before(points: DataFrame, runs: DataFrame, tile: int = TILE) -> DataFrame:
+    """As-of join: each point ``(chrom, pos)`` with the last run that begins at or before it (null without one).
+
+    Runs and points share windows of a tile; what a tile's first points need comes from
+    the last run of the tiles before, of which there is one a tile.
+    """
+    p = points.select("chrom", "pos", F.lit(1).alias("kind"), *(F.lit(None).cast("long").alias(c) for c in ("begin", "end")), F.lit(None).cast("int").alias("value"))
+    r = runs.select("chrom", F.col("begin").alias("pos"), F.lit(0).alias("kind"), "begin", "end", "value")
+    every = r.unionByName(p).withColumn("_tile", div("pos", tile))
+    run = F.when(F.col("kind") == 0, F.struct("begin", "end", "value"))
+    own = F.last(run, ignorenulls=True).over(Window.partitionBy("chrom", "_tile").orderBy("pos", "kind"))
+    edge = every.groupBy("chrom", "_tile").agg(F.max(run).alias("last"))
+    edge = edge.withColumn("before", F.last("last", ignorenulls=True).over(Window.partitionBy("chrom").orderBy("_tile").rowsBetween(Window.unboundedPreceding, -1))).select("chrom", "_tile", "before")
+    out = every.withColumn("own", own).where("kind = 1").join(edge, ["chrom", "_tile"]).withColumn("run", F.coalesce("own", "before"))
+    return out.select("chrom", "pos", "run.begin", "run.end", "run.value")
