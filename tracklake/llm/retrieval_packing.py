@@ -33,22 +33,29 @@ from array import array
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracklake.llm.common import arrow_schema, saved, slices, texts
+from tracklake.llm.common import arrow_schema, saved, sized, slices, texts
 from tracklake.llm.repeats import mix
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 GPT2_SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-REMEMBERED = 150_000
+#: White space as Python's strings know it, at a piece's ends.
+SPACE = r"[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+LOOSE_END = f"^$|{SPACE}$"
+LOOSE = f"{LOOSE_END}|^{SPACE}"
 K1, B = 1.2, 0.75
 #: Sizes of the projected term weights, and documents sampled for each shard.
 DIMS, PER_SHARD = 128, 16
+#: A term of more than one document in so many is a row of the index's matrix.
+COMMON = 8
 
 
 class ByteBpe:
-    """Ids of a byte-level BPE file, remembering what words become."""
+    """Ids of a byte-level BPE file."""
 
     def __init__(self, spec: str):
         import tiktoken
@@ -61,32 +68,62 @@ class ByteBpe:
         ranks = {bytes(back[c] for c in t): i for t, i in j["model"]["vocab"].items() if t not in self.added}
         self.slow = tiktoken.Encoding("ranks", pat_str=GPT2_SPLIT, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
         self.cut_added = re.compile("(" + "|".join(map(re.escape, self.added)) + ")") if self.added else None
-        self.known: dict[str, bytes | None] = {}
-
-    def _piece(self, p: str) -> bytes | None:
-        """Ids of a space and ``p``; None where ``p`` has no end of its own, as its spaces join its neighbours'."""
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-        got = None if not p or p[0].isspace() or p[-1].isspace() else array("I", self.slow(" " + p)).tobytes()
-        self.known[p] = got
-        return got
-
-    def _part(self, text: str) -> bytes:
-        first, *rest = text.split(" ")
-        if first and not first[-1].isspace():
-            known, piece = self.known, self._piece
-            got = [known[p] if p in known else piece(p) for p in rest]
-            if None not in got:
-                return array("I", self.slow(first)).tobytes() + b"".join(got)
-        return array("I", self.slow(text)).tobytes()
+        self.widths = np.zeros(max(ranks.values(), default=-1) + 1, dtype=np.int64)
+        self.widths[list(ranks.values())] = [len(t) for t in ranks]
+
+    def _pieces(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all ``pieces``, each after a space, in one call, and where each piece's begin."""
+        if not len(pieces):
+            return np.zeros(0, dtype="<u4"), np.zeros(1, dtype=np.int64)
+        text = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(pieces)], pa.int32()), pieces), " ")[0].as_py()
+        ids = np.array(self.slow(" " + text), dtype="<u4")
+        bounds = np.concatenate(([0], np.cumsum(pc.binary_length(pieces).to_numpy().astype(np.int64) + 1)))
+        at = np.concatenate(([0], np.cumsum(self.widths[ids])))
+        begins = np.searchsorted(at, bounds)
+        if not np.array_equal(at[begins], bounds):
+            raise ValueError("a token spans two pieces")
+        return ids, begins
 
     def ids(self, text: str | None) -> bytes:
         """Little-endian unsigned 32-bit ids."""
         if not text:
             return b""
-        if self.cut_added and any(t in text for t in self.added):
-            return b"".join(self.added.get(p) or self._part(p) for p in self.cut_added.split(text) if p)
-        return self._part(text)
+        parts = self.cut_added.split(text) if self.cut_added and any(t in text for t in self.added) else [text]
+        return b"".join(self.added.get(p) or array("I", self.slow(p)).tobytes() for p in parts if p)
+
+    def column(self, texts: pa.Array, end: int, kind: str) -> pa.Array:
+        """Ids of every text of a string column, of type ``kind``, with the id ``end`` after them.
+
+        Texts are cut at single spaces; a batch's different pieces are encoded once.
+        """
+        texts = pc.fill_null(texts, "")
+        pieces = pc.split_pattern(texts, " ")
+        sizes = pieces.value_lengths().to_numpy()
+        flat = pieces.flatten()
+        ends = np.cumsum(sizes)
+        starts = ends - sizes
+        coded = flat.dictionary_encode()
+        loose = pc.match_substring_regex(coded.dictionary, LOOSE)  # has no end of its own, as its spaces join its neighbours'
+        ids, begins = self._pieces(pc.if_else(loose, "x", coded.dictionary))
+        first = flat.take(pa.array(starts)).dictionary_encode()
+        leads = [np.array(self.slow(p), dtype="<u4") for p in first.dictionary.to_pylist()]
+        code = coded.indices.to_numpy().astype(np.int64)
+        whole = loose.to_numpy(zero_copy_only=False)[code]
+        whole[starts] = pc.match_substring_regex(first.dictionary, LOOSE_END).to_numpy(zero_copy_only=False)[first.indices.to_numpy()]
+        code[starts] = first.indices.to_numpy().astype(np.int64) + len(coded.dictionary)
+        odd = np.logical_or.reduceat(whole, starts) if len(starts) else whole
+        for t in self.added:
+            odd |= pc.match_substring(texts, t).to_numpy(zero_copy_only=False)
+        data = np.concatenate([ids, *leads]).astype(kind)
+        begins = np.concatenate((begins, len(ids) + np.cumsum([len(x) for x in leads], dtype=np.int64))) * data.itemsize
+        values = pa.Array.from_buffers(pa.binary(), len(begins) - 1, [None, pa.py_buffer(begins.astype(np.int32)), pa.py_buffer(data)])
+        joined = pc.binary_join(pa.ListArray.from_arrays(pa.array(np.concatenate(([0], ends)).astype(np.int32)), values.take(pa.array(code))), b"")
+        if odd.any():
+            rows = joined.to_pylist()
+            for i in np.flatnonzero(odd).tolist():
+                rows[i] = np.frombuffer(self.ids(texts[i].as_py()), "<u4").astype(kind).tobytes()
+            joined = pa.array(rows, pa.binary())
+        return pc.binary_join_element_wise(joined, pa.scalar(np.array([end], kind).tobytes(), pa.binary()), pa.scalar(b"", pa.binary()))
 
 
 @lru_cache(maxsize=4)
@@ -192,7 +229,18 @@ class Bm25:
         shared = np.flatnonzero(df[slot] > 1)
         order = shared[np.lexsort((slot[shared], -self.weight[shared], self.doc[shared]))]
         at = np.searchsorted(self.doc[order], np.arange(n + 1))
-        self.query = [slot[order[a : b if query_terms is None else min(b, a + query_terms)]] for a, b in zip(at[:-1], at[1:])]
+        query = [slot[order[a : b if query_terms is None else min(b, a + query_terms)]] for a, b in zip(at[:-1], at[1:])]
+        # terms of many documents are kept as rows of a matrix, which add up faster than postings
+        common = df > max(1, n // COMMON)
+        row = np.cumsum(common) - 1
+        self.rows = np.zeros((int(common.sum()), n), dtype=np.float32)
+        often = common[slot]
+        self.rows[row[slot[often]], self.doc[often]] = self.weight[often]
+        self.query = [q[~common[q]] for q in query]
+        self.common = [row[q[common[q]]] for q in query]
+        left = ~often
+        self.starts = np.concatenate(([0], np.cumsum(left)))[self.starts]
+        self.doc, self.weight = self.doc[left], self.weight[left]
         self.n = n
 
     def drop(self, used: np.ndarray) -> None:
@@ -203,10 +251,13 @@ class Bm25:
 
     def scores(self, seed: int, used: np.ndarray) -> np.ndarray:
         """Every unused document's score, by all terms of the seed's query."""
-        spans = [slice(self.starts[t], self.starts[t + 1]) for t in self.query[seed]]
-        if not spans:
-            return np.zeros(self.n)
-        score = np.bincount(np.concatenate([self.doc[s] for s in spans]), np.concatenate([self.weight[s] for s in spans]), self.n)
+        score = self.rows[self.common[seed]].sum(0).astype(np.float64)
+        begin = self.starts[self.query[seed]]
+        size = self.starts[self.query[seed] + 1] - begin
+        total = int(size.sum())
+        if total:
+            at = np.arange(total) + np.repeat(begin - np.cumsum(size) + size, size)
+            score += np.bincount(self.doc[at], self.weight[at], self.n)
         score[used] = 0
         return score
 
@@ -223,36 +274,35 @@ def ranked(docs: np.ndarray, score: np.ndarray) -> np.ndarray:
 class Near:
     """All documents with a score, best first, for one window, whose room only shrinks. The first ``look`` are sorted at once, the rest if they are asked for."""
 
-    def __init__(self, score: np.ndarray, sizes: np.ndarray, look: int):
-        self.score, self.sizes = score, sizes
+    def __init__(self, score: np.ndarray, sizes: np.ndarray, lengths: list[int], look: int):
+        self.score, self.sizes, self.lengths = score, sizes, lengths
         hit = np.flatnonzero(score)
         self.rest = hit[:0]
         if len(hit) > 4 * look:
             s = score[hit]
             best = s >= -np.partition(-s, look)[look]
             hit, self.rest = hit[best], hit[~best]
-        self.ahead, self.at, self.best = ranked(hit, score).tolist(), 0, None
+        self.ahead, self.at, self.best, self.over = ranked(hit, score).tolist(), 0, None, None
 
     def take(self, room: int) -> int | None:
-        """The best that fits, else the best of all, which is then to be cut."""
+        """The best that fits, else the best of all, which is then to be cut: the first one passed over, as all come in order, or the best of the rest that never fitted."""
         while True:
-            while self.at < len(self.ahead):
-                x = self.ahead[self.at]
-                self.at += 1
-                if self.sizes[x] <= room:
+            ahead, lengths = self.ahead, self.lengths
+            for at in range(self.at, len(ahead)):
+                x = ahead[at]
+                if lengths[x] <= room:
+                    self.at = at + 1
                     return x
-                self.skip(x)
+                if self.best is None:
+                    self.best = x if self.over is None or (-self.score[x], x) < (-self.score[self.over], self.over) else self.over
+            self.at = len(ahead)
             if not len(self.rest):
-                return self.best
+                return self.over if self.best is None else self.best
             fits = self.sizes[self.rest] <= room
             fit, over = self.rest[fits], self.rest[~fits]
             self.ahead, self.at, self.rest = ranked(fit, self.score).tolist(), 0, fit[:0]
             if len(over):
-                self.skip(int(over[np.argmax(self.score[over])]))
-
-    def skip(self, x: int) -> None:
-        if self.best is None or (-self.score[x], x) < (-self.score[self.best], self.best):
-            self.best = x
+                self.over = int(over[np.argmax(self.score[over])])
 
 
 def pack(docs: list[np.ndarray], window: int = 1024, query_terms: int | None = None, look: int = 32, corpus: Corpus | None = None):
@@ -263,7 +313,9 @@ def pack(docs: list[np.ndarray], window: int = 1024, query_terms: int | None = N
     sizes = np.array([len(d) for d in docs], dtype=np.int64)
     total, nxt, seq, room = int(sizes.sum()), 0, 0, window
     doc, start, placed, cap = None, 0, 0, window
-    live, gone, none = n, 0, Near(np.zeros(n), sizes, look)
+    live, gone = n, 0
+    lengths = sizes.tolist()
+    none = Near(np.zeros(n), sizes, lengths, look)
     seed, near = None, none
 
     def around(x: int) -> Near:
@@ -271,7 +323,7 @@ def pack(docs: list[np.ndarray], window: int = 1024, query_terms: int | None = N
         if 4 * gone > live:
             index.drop(used)
             live, gone = live - gone, 0
-        return Near(index.scores(x, used), sizes, look)
+        return Near(index.scores(x, used), sizes, lengths, look)
 
     if total < window:
         cap = room = 1 << (total.bit_length() - 1) if total else 0
@@ -297,7 +349,7 @@ def pack(docs: list[np.ndarray], window: int = 1024, query_terms: int | None = N
             if over:
                 seed = None
                 near.score[used] = 0
-                near = Near(near.score, sizes, look)
+                near = Near(near.score, sizes, lengths, look)
             else:
                 seed = doc
                 near = around(doc) if sizes[doc] - start < room else none
@@ -320,7 +372,6 @@ def packed(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_co
     counts = docs.sparkSession.sparkContext.broadcast(corpus)
 
     def run(batches):
-        import pyarrow as pa
         from pyspark import TaskContext
 
         base = TaskContext.get().partitionId() << 32
@@ -363,12 +414,9 @@ def token_ids(source: DataFrame, spec, separator: int, kind: str) -> DataFrame:
     schema = arrow_schema("doc_id long, ids binary")
 
     def run(batches):
-        import pyarrow as pa
-
-        bpe, end = byte_bpe(spec.value), array("I", [separator]).tobytes()
-        for b in (x for whole in batches for x in slices(whole)):
-            ids = [np.frombuffer(bpe.ids(t) + end, dtype="<u4").astype(kind).tobytes() for t in b.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(ids, pa.binary())], schema=schema)
+        bpe = byte_bpe(spec.value)
+        for b in (x for whole in batches for x in sized(whole)):
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), bpe.column(b.column("text"), separator, kind)], schema=schema)
 
     return source.mapInArrow(run, "doc_id long, ids binary")
 
@@ -378,8 +426,6 @@ def frequencies(coded: DataFrame, kind: str) -> Corpus:
     schema = arrow_schema("term long, n long")
 
     def run(batches):
-        import pyarrow as pa
-
         df, n, tokens = np.zeros(0, dtype=np.int64), 0, 0
         for b in (x for whole in batches for x in slices(whole)):
             docs = listed(b, kind)
@@ -398,8 +444,6 @@ def frequencies(coded: DataFrame, kind: str) -> Corpus:
 
 def grouped(coded: DataFrame, corpus: Corpus, counts, shards: int, kind: str) -> DataFrame:
     """``coded`` with the number of the part of the tree that a document belongs to."""
-    import pyarrow as pa
-
     schema, fields = arrow_schema("doc_id long, ids binary, part long"), "doc_id long, ids binary, part long"
     vector = arrow_schema("x binary")
 
