@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracklake.llm import language_id, line_dedup, minhash, suffix_trees
-from tracklake.llm.common import saved, slices
+from tracklake.llm.common import saved, slices, tidy
 from tracklake.llm.passages import covered
 
 UID = "_row_uid"
@@ -47,12 +47,22 @@ def rewritten(docs: DataFrame, runs: DataFrame, edit: Callable[[bytes, list], by
                 arrays[at] = pa.array(sizes, pa.int64()).cast(b.column("n_chars").type)
             yield pa.RecordBatch.from_arrays(arrays, names=columns).filter(keep)
 
-    return rows.mapInArrow(run, docs.schema).drop(UID)
+    return rows.mapInArrow(tidy(run), docs.schema).drop(UID)
 
 
-def with_language(docs: DataFrame, least_score: float) -> DataFrame:
-    """Rows whose text has a recognised language. One pass: the text is judged where it is read."""
+def least_score(margin: float, n_langs: int) -> float:
+    """The score a document needs: ``margin`` of the way from an even split over the languages to certainty."""
+    even = 1 / max(1, n_langs)
+    return even + margin * (1 - even) - 1e-6
+
+
+def with_language(docs: DataFrame, margin: float) -> DataFrame:
+    """Rows whose text has a recognised language. One pass: the text is judged where it is read.
+
+    Texts that are null or have no letter go; where nothing is labelled, all go; repeated rows are judged one by one.
+    """
     langs, net = language_id.fit(docs)
+    least = least_score(margin, len(langs))
 
     def run(batches):
         read = net.reader() if net else None
@@ -61,10 +71,10 @@ def with_language(docs: DataFrame, least_score: float) -> DataFrame:
             some = [i for i, t in enumerate(texts) if read and t and any(c.isalpha() for c in t)]
             keep = np.zeros(len(texts), dtype=bool)
             if some:
-                keep[some] = language_id.probabilities(read, [texts[i].encode() for i in some], len(langs)).max(1) >= least_score
+                keep[some] = language_id.probabilities(read, [texts[i].encode() for i in some], len(langs)).max(1) >= least
             yield b.filter(pa.array(keep))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)
 
 
 def without_repeated_lines(docs: DataFrame, min_lines: int = 2) -> DataFrame:
@@ -77,7 +87,7 @@ def one_of_each_group(docs: DataFrame, shingle: int = 5, percent: int = 80) -> D
     """Rows whose uid is the least of their component; texts without words are all kept."""
     docs = numbered(docs)
     found = minhash.labelled(docs.select(F.col(UID).alias("uid"), "text"), shingle, percent, bands=24, rows=4)
-    least = found.groupBy("label").agg(F.min("uid").alias(UID)).select(UID)
+    least = found.where("uid = label").select(F.col("uid").alias(UID))  # a label is its component's least uid
     return docs.join(least, UID, "left_semi").select(*[c for c in docs.columns if c != UID])
 
 

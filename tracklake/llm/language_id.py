@@ -5,23 +5,24 @@ backward GRU; a document's is the mean of its bytes'. Texts are cut into
 stretches of ``SEGMENT`` bytes which the network reads by themselves, so whole
 texts of any length are read in bounded memory.
 
-The network is trained here, in numpy, by backpropagation through time, on at
-most ``per_lang`` labelled documents of each of at most ``max_langs`` languages
-(those with the smallest hashes of their ids; the commonest languages) and
-``SNIPPET`` characters of each. Ids choose who is learned from; neither they nor
+The network is trained here, in numpy, by backpropagation through time, on every
+labelled language: on at most ``per_lang`` documents of each (those with the smallest hashes of
+id and text, among those with a letter) and ``SNIPPET`` characters of a document. The driver holds a
+network with an output for each language. Ids choose who is learned from; neither they nor
 labels enter a prediction.
 
 Defined cases: a null text, or one without a letter, is ``und`` with score 0, as
-is every text where nothing is labelled; a row without an id is not held out and
-never learned from; repeated rows count as often as they occur; ties go to the
-language first in the alphabet; an empty table gives an empty result; other
+is every text where nothing is labelled; a text of any length is read whole; a row without an id
+is not held out and never learned from; repeated rows count as often as they occur; equal rows
+may each be in the sample; languages that tie go to the
+one first in the alphabet; an empty table gives an empty result; other
 columns are ignored.
 """
 
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracklake.llm.common import map_rows
@@ -193,8 +194,9 @@ def probabilities(read, texts: list[bytes], n_labels: int) -> np.ndarray:
         size += len(t)
         if size >= CHUNK or i + 1 == len(texts):
             segments, owner = cut(texts[at : i + 1])
-            for k in range(0, len(segments), GROUP):
-                np.add.at(total, at + owner[k : k + GROUP], read(segments[k : k + GROUP]))
+            group = max(16, min(GROUP, (1 << 17) // n_labels))  # bounds what the network writes down
+            for k in range(0, len(segments), group):
+                np.add.at(total, at + owner[k : k + group], read(segments[k : k + group]))
             at, size = i + 1, 0
     return total / np.maximum(1, [len(t) for t in texts])[:, None]
 
@@ -204,20 +206,33 @@ def split(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> DataFra
     return d.withColumn("held_out", F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1, F.lit(False)))
 
 
-def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_lang: int = 300, max_langs: int = 32) -> tuple[list[str], BiGru | None]:
-    """Languages and the trained network; the driver gathers ``per_lang * max_langs`` snippets at most."""
-    seen = split(docs, id_col, text_col, lang_col).where("NOT held_out AND lang IS NOT NULL AND doc_id IS NOT NULL")
-    langs = sorted(r[0] for r in seen.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_langs).collect())
-    if not langs:
-        return [], None
-    ids = [r[0] for lang in langs for r in seen.where(F.col("lang") == lang).select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_lang).collect()]
-    rows = seen.where(F.col("doc_id").isin(ids)).select("lang", F.substring("text", 1 + F.pmod(F.xxhash64("doc_id"), F.greatest(F.lit(1), F.length("text") - SNIPPET)).cast("int"), F.lit(SNIPPET)).alias("text")).where("text RLIKE '\\\\p{L}'").orderBy(F.xxhash64("text")).limit(per_lang * max_langs).collect()
+def sample(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_lang: int = 300) -> list[tuple[str, str]]:
+    """``(lang, snippet)`` of at most ``per_lang`` documents of every labelled language, in two passes.
+
+    Languages are counted first; of each, those rows are drawn whose hashes are below a bound that about
+    twice ``per_lang`` of them meet, or are the least, so that few rows are ranked, however common it is.
+    """
+    seen = split(docs, id_col, text_col, lang_col).where("NOT held_out AND lang IS NOT NULL AND doc_id IS NOT NULL AND text RLIKE '\\\\p{L}'").withColumn("o", F.xxhash64("doc_id", "text"))
+    counts = seen.groupBy("lang").agg((F.lit(2.0 * per_lang) / F.count("*")).alias("share"), F.min("o").alias("least")).collect()  # a row for each language, as the network has an output for each
+    bounds = docs.sparkSession.createDataFrame(counts, "lang string, share double, least long")
+    drawn = seen.join(F.broadcast(bounds), "lang").where("CAST(o AS DOUBLE) / 18446744073709551616D + 0.5D < share OR o = least")
+    start = 1 + F.pmod("o", F.greatest(F.lit(1), F.length("text") - SNIPPET)).cast("int")
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("o", "doc_id"))
+    rows = drawn.select("lang", "o", "doc_id", F.substring("text", start, F.lit(SNIPPET)).alias("text")).withColumn("rank", rank).where(F.col("rank") <= per_lang)
+    return [(r["lang"], r["text"]) for r in rows.orderBy("lang", "rank").collect()]
+
+
+def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_lang: int = 300) -> tuple[list[str], BiGru | None]:
+    """Languages and the trained network; both grow with the number of languages, neither with that of documents."""
+    rows = sample(docs, id_col, text_col, lang_col, per_lang)
     if not rows:
         return [], None
-    langs = sorted({r["lang"] for r in rows})
-    segments, owner = cut([r["text"].encode() for r in rows])
-    net = BiGru(len(langs))
-    net.train(segments, np.array([langs.index(r["lang"]) for r in rows])[owner])
+    langs = sorted({lang for lang, _ in rows})
+    number = {lang: i for i, lang in enumerate(langs)}
+    segments, owner = cut([text.encode() for _, text in rows])
+    many = len(langs) > 8  # needs a larger network, read in more steps
+    net = BiGru(len(langs), min(32, len(langs)) if many else HIDDEN)
+    net.train(segments, np.array([number[lang] for lang, _ in rows])[owner], 600 if many else 400)
     return langs, net
 
 
