@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracklake.llm.common import map_rows, texts
+from tracklake.llm.common import map_rows, texts, tidy
 
 LONGEST = 24
 CUT = re.compile(rb"[.!?,;:\n]+")
@@ -235,4 +235,4 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 cols = list(zip(*out))
                 yield pa.RecordBatch.from_arrays([pa.array(c) if c[0] is not None else pa.array(c, type=pa.int64()) for c in cols], names=names)
 
-    return rows.mapInArrow(run, SCHEMA)
+    return rows.mapInArrow(tidy(run), SCHEMA)

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracklake.llm.common import arrow_schema, saved, texts
+from tracklake.llm.common import arrow_schema, saved, texts, tidy
 from tracklake.llm.passages import finished, release, with_uid
 
 SCHEMA = "doc_id long, n_lines long, n_removed long, n_runs long, kept_sha256 string"
@@ -54,7 +54,7 @@ def line_ids(docs: DataFrame) -> DataFrame:
             both = np.frombuffer(b"".join(ids), dtype="<i8").reshape(-1, 2)
             yield pa.RecordBatch.from_arrays([pa.array(uids, pa.int64()), pa.array(nums, pa.int32()), pa.array(both[:, 0]), pa.array(both[:, 1])], schema=schema)
 
-    return docs.mapInArrow(run, "uid long, i int, a long, b long")
+    return docs.mapInArrow(tidy(run), "uid long, i int, a long, b long")
 
 
 def ranked(places: DataFrame) -> DataFrame:

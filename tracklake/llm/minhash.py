@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracklake.llm.common import arrow_schema, discard, saved, texts
+from tracklake.llm.common import arrow_schema, discard, saved, texts, tidy
 from tracklake.llm.components import connected_components
 from tracklake.llm.passages import Symbols, chunks, release, signed, with_uid
 from tracklake.llm.repeats import Hashes, U, mix
@@ -102,7 +102,7 @@ def sketched(docs: DataFrame, shingle: int, bands: int, rows: int) -> DataFrame:
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(len(data) + 1, dtype=np.int32) * bands), signed(keys.ravel()))
                 yield pa.RecordBatch.from_arrays([pa.array(uids, pa.int64()), pa.array(sizes.astype(np.int32)), signed(d1), signed(d2), lists], schema=schema)
 
-    return docs.mapInArrow(run, ddl)
+    return docs.mapInArrow(tidy(run), ddl)
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, shingle: int, percent: int) -> DataFrame:
@@ -134,7 +134,7 @@ def confirmed(pairs: DataFrame, sets: DataFrame, shingle: int, percent: int) ->
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found)], schema=schema)
 
-    return rows.repartition("p", "g").sortWithinPartitions("p", "g", "kind").select("uid", "p", "g", "kind", "text").mapInArrow(run, "p long, x long")
+    return rows.repartition("p", "g").sortWithinPartitions("p", "g", "kind").select("uid", "p", "g", "kind", "text").mapInArrow(tidy(run), "p long, x long")
 
 
 def early_pairs(left: DataFrame, text: DataFrame, shingle: int, percent: int) -> DataFrame:
@@ -156,7 +156,7 @@ def early_pairs(left: DataFrame, text: DataFrame, shingle: int, percent: int) ->
                 h, sizes = shingle_sets(data, shingle)
                 yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array(c, dtype=t), sizes)) for c, t in ((ids, np.int64), (labels, np.int64), (ns, np.int32))] + [signed(h)], schema=schema)
 
-    tokens = docs.select("uid", "label", "n", "text").mapInArrow(run, ddl)
+    tokens = docs.select("uid", "label", "n", "text").mapInArrow(tidy(run), ddl)
     common = tokens.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
     own = Window.partitionBy("uid")
     placed = tokens.join(common, "token").withColumn("place", F.col("n") - F.count("*").over(own) + F.row_number().over(own.orderBy("df", "token")))

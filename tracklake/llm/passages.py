@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracklake.llm.common import arrow_schema, discard, saved, slices
+from tracklake.llm.common import arrow_schema, discard, saved, slices, tidy
 from tracklake.llm.repeats import BYTES, spans, word_hashes, words_of
 
 CHUNK = 1 << 20
@@ -115,7 +115,7 @@ def repeated(docs: DataFrame, window: int, k: int, words: bool, mark: Callable[[
                 if len(h):
                     yield pa.RecordBatch.from_arrays([signed(h), signed(s), part.column("uid").take(pa.array(doc)), pa.array(lo.astype(np.int32)), pa.array(hi.astype(np.int32))], schema=schema)
 
-    found = saved(docs.mapInArrow(cut, ddl), "found")
+    found = saved(docs.mapInArrow(tidy(cut), ddl), "found")
     anchors = saved(found.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"), "anchors")
     shared = saved(found.join(anchors, "h"), "spans")
     discard(found, anchors)
@@ -154,7 +154,7 @@ def fetched(docs: DataFrame, kinds: DataFrame, window: int, words: bool) -> Data
                 got = [sym.content(d, a, e) for d, a, e in zip(doc.tolist(), lo.tolist(), (hi + window).tolist())]
                 yield pa.RecordBatch.from_arrays([h, s, twice, many, pa.array((hi - lo + 1).astype(np.int32)), pa.array(got, pa.binary())], schema=schema)
 
-    return docs.join(wanted, "uid").select("text", "spans").mapInArrow(take, ddl)
+    return docs.join(wanted, "uid").select("text", "spans").mapInArrow(tidy(take), ddl)
 
 
 def runs_of(mark: np.ndarray, first: int = 0) -> list[int]:
@@ -183,4 +183,4 @@ def finished(docs: DataFrame, runs: DataFrame, finish: Callable, out_schema: str
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), schema.types)], schema=schema)
 
-    return docs.join(runs, "uid", "left").select("doc_id", "text", "runs").mapInArrow(run, out_schema)
+    return docs.join(runs, "uid", "left").select("doc_id", "text", "runs").mapInArrow(tidy(run), out_schema)

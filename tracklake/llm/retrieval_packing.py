@@ -17,7 +17,7 @@ Neighbours are searched in the seed's shard alone, so a related document that
 the tree puts into another shard is not found. Memory is bounded by a shard and
 its longest document. All terms of a seed that another document of the shard has count in its scores, and
 all documents with a score are ranked, as far down as the window needs. The sample is ``PER_SHARD``
-documents a shard.
+documents a shard, ``MOST_SAMPLED`` (of 512 bytes each on the driver) at most.
 
 Defined cases: a null or empty text is the separator alone; repeated rows are
 packed each by itself; ties in score go to the earlier document in shard order; an empty table
@@ -38,7 +38,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracklake.llm.common import arrow_schema, saved, sized, slices, texts
+from tracklake.llm.common import arrow_schema, saved, sized, slices, texts, tidy
 from tracklake.llm.repeats import mix
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -50,6 +50,8 @@ LOOSE = f"{LOOSE_END}|^{SPACE}"
 K1, B = 1.2, 0.75
 #: Sizes of the projected term weights, and documents sampled for each shard.
 DIMS, PER_SHARD = 128, 16
+#: Documents sampled at most; with more shards than these make parts of the tree, a part is dealt to several shards.
+MOST_SAMPLED = 1 << 16
 #: A term of more than one document in so many is a row of the index's matrix.
 COMMON = 8
 
@@ -402,7 +404,7 @@ def packed(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_co
 
     order = ["part", F.xxhash64("ids"), "doc_id"]
     alike = grouped(coded, corpus, counts, shards, kind)
-    return alike.repartitionByRange(shards, *order).sortWithinPartitions(*order).select("doc_id", "ids").mapInArrow(run, SCHEMA)
+    return alike.repartitionByRange(shards, *order).sortWithinPartitions(*order).select("doc_id", "ids").mapInArrow(tidy(run), SCHEMA)
 
 
 def listed(batch, kind: str) -> list[np.ndarray]:
@@ -418,7 +420,7 @@ def token_ids(source: DataFrame, spec, separator: int, kind: str) -> DataFrame:
         for b in (x for whole in batches for x in sized(whole)):
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), bpe.column(b.column("text"), separator, kind)], schema=schema)
 
-    return source.mapInArrow(run, "doc_id long, ids binary")
+    return source.mapInArrow(tidy(run), "doc_id long, ids binary")
 
 
 def frequencies(coded: DataFrame, kind: str) -> Corpus:
@@ -435,7 +437,7 @@ def frequencies(coded: DataFrame, kind: str) -> Corpus:
         at = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(at, [-1, -2])), pa.array(np.append(df[at], [n, tokens]))], schema=schema)
 
-    found = {r[0]: r[1] for r in coded.mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n")).collect()}
+    found = {r[0]: r[1] for r in coded.mapInArrow(tidy(run), "term long, n long").groupBy("term").agg(F.sum("n")).collect()}
     n, tokens = found.pop(-1, 0), found.pop(-2, 0)
     df = np.zeros(max(found, default=-1) + 1, dtype=np.int64)
     df[list(found)] = list(found.values())
@@ -452,9 +454,9 @@ def grouped(coded: DataFrame, corpus: Corpus, counts, shards: int, kind: str) ->
             if b.num_rows:
                 yield pa.RecordBatch.from_arrays([pa.array([v.tobytes() for v in counts.value.vectors(listed(b, kind))], pa.binary())], schema=vector)
 
-    share = min(1.0, PER_SHARD * shards / corpus.n)
+    share = min(1.0, min(PER_SHARD * shards, MOST_SAMPLED) / corpus.n)
     chosen = coded.where(F.pmod(F.xxhash64("doc_id", "ids"), F.lit(1 << 30)) < int(share * (1 << 30)))
-    rows = sorted(r[0] for r in chosen.select("ids").mapInArrow(project, "x binary").collect()) if shards > 1 else []
+    rows = sorted(r[0] for r in chosen.select("ids").limit(2 * MOST_SAMPLED).mapInArrow(tidy(project), "x binary").collect()) if shards > 1 else []  # equal rows are drawn together
     sample = np.frombuffer(b"".join(rows), dtype=np.float32).reshape(-1, DIMS)
     tree = coded.sparkSession.sparkContext.broadcast(Tree(sample, PER_SHARD))
 
@@ -464,4 +466,4 @@ def grouped(coded: DataFrame, corpus: Corpus, counts, shards: int, kind: str) ->
                 part = tree.value.parts(counts.value.vectors(listed(b, kind)))
                 yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("ids"), pa.array(part, pa.int64())], schema=schema)
 
-    return saved(coded.mapInArrow(run, fields), "parts", "zstd")
+    return saved(coded.mapInArrow(tidy(run), fields), "parts", "zstd")

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracklake.llm.common import arrow_schema, discard, saved, texts
+from tracklake.llm.common import arrow_schema, discard, saved, texts, tidy
 from tracklake.llm.passages import Symbols, covered, finished, repeated, rows_of, runs_of, with_uid
 from tracklake.llm.repeats import Hashes, mix
 
@@ -178,7 +178,7 @@ def in_shards(contents: DataFrame, window: int, shard_bytes: int) -> DataFrame:
             yield shard()
 
     order = ["h", "s"]
-    return contents.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(run, ddl)
+    return contents.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(tidy(run), ddl)
 
 
 def merged(lists: DataFrame) -> DataFrame:
@@ -234,8 +234,8 @@ def merged(lists: DataFrame) -> DataFrame:
         if slices:
             yield from done()
 
-    parts = lists.join(several, "h").select("h", "shard", "lists", "w", "kinds", "place").mapInArrow(cut, ddl)
-    out = saved(parts.repartition("h", "part").sortWithinPartitions("h", "part", "shard").mapInArrow(merge, RUNS), "merged")
+    parts = lists.join(several, "h").select("h", "shard", "lists", "w", "kinds", "place").mapInArrow(tidy(cut), ddl)
+    out = saved(parts.repartition("h", "part").sortWithinPartitions("h", "part", "shard").mapInArrow(tidy(merge), RUNS), "merged")
     discard(several)
     return out
 

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracklake.llm.common import arrow_schema, discard, saved, texts
+from tracklake.llm.common import arrow_schema, discard, saved, texts, tidy
 from tracklake.llm.passages import Symbols, covered, finished, repeated, rows_of, runs_of, signed, with_uid
 from tracklake.llm.repeats import Hashes, U, mix
 
@@ -109,7 +109,7 @@ def anchored(contents: DataFrame, k: int) -> DataFrame:
                 zero = np.zeros(b.num_rows, dtype=np.int32)
                 yield pa.RecordBatch.from_arrays([h, h, b.column("s"), b.column("twice"), pa.array(zero), pa.array(c.astype(np.int32)), owned, b.column("content")], schema=schema)
 
-    return contents.mapInArrow(run, LEAVES)
+    return contents.mapInArrow(tidy(run), LEAVES)
 
 
 def lengthened(leaves: DataFrame, window: int, block: int) -> DataFrame:
@@ -131,7 +131,7 @@ def lengthened(leaves: DataFrame, window: int, block: int) -> DataFrame:
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*out), schema.types)], schema=schema)
 
-    return leaves.mapInArrow(run, LEAVES)
+    return leaves.mapInArrow(tidy(run), LEAVES)
 
 
 def grown(leaves: DataFrame, window: int, shard_bytes: int) -> DataFrame:
@@ -158,7 +158,7 @@ def grown(leaves: DataFrame, window: int, shard_bytes: int) -> DataFrame:
         if rows:
             yield from shard()
 
-    return leaves.repartition("g").sortWithinPartitions("g").mapInArrow(run, RUNS)
+    return leaves.repartition("g").sortWithinPartitions("g").mapInArrow(tidy(run), RUNS)
 
 
 def counted(leaves: DataFrame, window: int) -> DataFrame:
@@ -172,7 +172,7 @@ def counted(leaves: DataFrame, window: int) -> DataFrame:
                 g = mix(x + np.array([h], dtype=np.int64).view(np.uint64))
                 yield pa.RecordBatch.from_arrays([signed(g), pa.array(np.full(n, h)), pa.array(np.full(n, s)), pa.array(np.arange(first, first + n, dtype=np.int32)), pa.array(np.full(n, 1 + twice, dtype=np.int32))], schema=schema)
 
-    found = saved(leaves.mapInArrow(run, WINDOWS), "windows")
+    found = saved(leaves.mapInArrow(tidy(run), WINDOWS), "windows")
     more = saved(found.groupBy("g").agg(F.sum("copies").alias("n")).where("n > 1").select("g"), "nodes")
     out = saved(found.join(more, "g").groupBy("h", "s").agg(F.flatten(F.collect_list(F.array("place", "place"))).alias("runs")), "counted")
     discard(found, more)
