@@ -26,7 +26,8 @@ import zlib
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracklake.llm.common import arrow_schema, saved, shared_dir
+from tracklake.llm.common import arrow_schema, saved, shared_dir, tidy
+from tracklake.sources.files import qualified
 
 MAGIC = b"\x1f\x8b\x08"
 RECORD = "page_id long, url string, record_type string, refers_to long, payload_digest string, payload_bytes long, payload binary"
@@ -188,7 +189,7 @@ def write_records(pages: DataFrame, to: str, id_col: str = "page_id", url_col: s
         if done:
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*done)], names=["path", "bytes", "n_records"])
 
-    return p.mapInArrow(run, "path string, bytes long, n_records long")
+    return p.mapInArrow(tidy(run), "path string, bytes long, n_records long")
 
 
 def read_records(manifest: DataFrame, split_bytes: int = 8 << 20, payloads: bool = True) -> DataFrame:
@@ -218,13 +219,13 @@ def read_records(manifest: DataFrame, split_bytes: int = 8 << 20, payloads: bool
                 if rows:
                     yield pa.RecordBatch.from_pylist(rows, schema=arrow)
 
-    return ranges.mapInArrow(run, schema)
+    return ranges.mapInArrow(tidy(run), schema)
 
 
 def round_trip(pages: DataFrame, split_bytes: int = 8 << 20) -> DataFrame:
     """Write ``pages`` to archives in the shared folder, then read them back."""
     spark = pages.sparkSession
-    to = shared_dir(spark, "warc")
+    to = qualified(spark, shared_dir(spark, "warc"))  # a path without a scheme is one of the default store, not of a worker's disk
     # Spark itself makes the folder, whatever store it is in
     spark.createDataFrame([], "x int").write.parquet(f"{to}/_made")
     manifest = saved(write_records(pages, to), "warc-manifest")
