@@ -6,6 +6,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tracklake.llm import bpe_automaton, fingerprints, language_id, line_dedup, minhash, quality_rules, retrieval_packing, suffix_arrays, suffix_trees, warc
@@ -217,6 +218,53 @@ def test_language_id(spark):
     assert {r["lang_pred"] for r in language_id.language_id(df.selectExpr("doc_id", "text", "cast(null as string) lang")).collect()} == {"und"}
 
 
+def test_every_language_is_learned(spark):
+    """Thirty-four languages, one of them very common, with clashing columns, a very long text and null texts first in hash order."""
+    rng = random.Random(8)
+    letters = [chr(0x100 + 3 * k) for k in range(34)]
+    rows = [(i, "".join(rng.choices(letters[k] + chr(ord(letters[k]) + 1), k=50)), f"l{k:02}") for i in range(1600) for k in [0 if rng.random() < 0.3 else i % 34]]
+    rows += [(5000 + i, None, f"l{i:02}") for i in range(34)] + [(6000, letters[7] * 30_000, None)]
+    df = spark.createDataFrame([(*r, "clash", 1.0, True) for r in rows], "doc_id long, text string, lang string, lang_pred string, score double, held_out boolean")
+    langs, net = language_id.fit(df, per_lang=12)
+    assert langs == [f"l{k:02}" for k in range(34)]
+    sample = Counter(lang for lang, _ in language_id.sample(df, per_lang=12))
+    assert set(sample) == set(langs) and set(sample.values()) == {12}
+    out = {r["doc_id"]: r for r in language_id.language_id(df, langs=langs, net=net).collect()}
+    held = [(i, lang) for i, t, lang in rows if t and lang and out[i]["held_out"]]
+    right = sum(out[i]["lang_pred"] == lang for i, lang in held) / len(held)
+    assert len(out) == len(rows) and right > 0.9, right
+    assert out[6000]["lang_pred"] == "l07" and out[5000]["lang_pred"] == "und"
+
+
+def test_sample_ties(spark):
+    df = spark.createDataFrame([(0, f"text {k}", "aa", k) for k in range(50)], "doc_id long, text string, lang string, h int").repartition(7)
+    assert zlib.crc32(b"0") % 3 != 1
+    once, again = (language_id.sample(x, per_lang=4) for x in (df, df.repartition(2)))
+    assert once == again and len(once) == 4
+
+
+@pytest.mark.parametrize("n_langs", [1, 2, 4, 30])
+def test_language_rejects_by_score(spark, monkeypatch, n_langs):
+    from tracklake.llm import cleaning
+
+    class Net:
+        def reader(self):
+            def read(segments):  # sure of texts of a's, undecided about others
+                real = (segments != 256).sum(1)
+                sure = (segments == 97).any(1)
+                p = np.full((len(segments), n_langs), 1 / n_langs)
+                p[sure] = 0.02 / n_langs
+                p[sure, 0] += 0.98
+                return p * real[:, None]
+
+            return read
+
+    monkeypatch.setattr(language_id, "fit", lambda docs: ([str(i) for i in range(n_langs)], Net()))
+    df = spark.createDataFrame([(1, "aaa aaa", 7), (2, "zzz zzz", 7), (3, None, 7), (4, "1 2", 7)], "doc_id long, text string, score int")
+    left = {r["doc_id"] for r in cleaning.with_language(df, 0.067).collect()}
+    assert left == ({1, 2} if n_langs == 1 else {1})
+
+
 def test_fingerprints(spark, rows, docs):
     have = got(fingerprints.fingerprints(docs))
     texts = [t or "" for _, t in rows]
@@ -264,6 +312,23 @@ def test_word_bpe_equals_library(rows):
         assert ids == " ".join(map(str, want)) and labels == theirs.decode(want, skip_special_tokens=False) == mine.decode(want)
 
 
+def test_encoded_columns_equal_the_library(rows):
+    texts = [*ODD, None, "\x0b\x0c", "\u3000 \xa0x\xa0 \x1e", *(t for _, t in rows)]
+    path = files.path("word_bpe_49k.json")
+    mine, theirs = bpe_automaton.WordCodec(open(path, encoding="utf-8").read()), tokenizers.Tokenizer.from_file(path)
+    for some in (texts, texts[20:], []):
+        n, ids, labels = mine.encode_column(pa.array(["skipped", *some], pa.string())[1:])
+        for t, k, i, w in zip(some, n, ids.to_pylist(), labels.to_pylist(), strict=True):
+            want = theirs.encode(t or "", add_special_tokens=False).ids
+            assert (k, i, w) == (len(want), " ".join(map(str, want)), theirs.decode(want, skip_special_tokens=False)), t
+    path = files.path("byte_bpe_50k.json")
+    mine, theirs = retrieval_packing.ByteBpe(open(path, encoding="utf-8").read()), tokenizers.Tokenizer.from_file(path)
+    for some in (texts, texts[20:], []):
+        got = mine.column(pa.array(["skipped", *some], pa.string())[1:], 0, "<u2").to_pylist()
+        for t, ids in zip(some, got, strict=True):
+            assert np.frombuffer(ids, "<u2").tolist() == [*theirs.encode(t or "", add_special_tokens=False).ids, 0], t
+
+
 def test_automaton_equals_plain_merging():
     merges = [("a", "a"), ("b", "a"), ("aa", "b"), ("aa", "aa"), ("ba", "aab"), ("a", "b")]
     vocab = {t: i for i, t in enumerate(["a", "b", *[u + v for u, v in merges]])}
@@ -337,6 +402,43 @@ def test_neighbours_beyond_the_first_terms_and_the_first_32():
     assert len(first) == 103 and len({d % 2 for d in first}) == 1
 
 
+def test_scores_equal_the_formula():
+    """All terms of the seed count, those of many documents and those of few, before and after postings are dropped."""
+    rng = np.random.default_rng(3)
+    docs = [rng.choice(np.concatenate([np.arange(12), np.arange(100, 400)]), rng.integers(1, 60), p=np.concatenate([np.full(12, 0.05), np.full(300, 0.4 / 300)])) for _ in range(60)]
+    index, corpus = retrieval_packing.Bm25(docs), retrieval_packing.Corpus.of(docs)
+    used, idf, mean = np.zeros(60, dtype=bool), corpus.idf(), corpus.tokens / corpus.n
+    for turn in range(2):
+        for seed in range(0, 60, 7):
+            want = np.zeros(60)
+            for d in np.flatnonzero(~used):
+                for t in set(docs[seed].tolist()):
+                    tf = int((docs[d] == t).sum())
+                    if tf and corpus.df[t] > 1:
+                        want[d] += idf[t] * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(docs[d]) / mean))
+            assert np.allclose(index.scores(seed, used), want, rtol=1e-5)
+        used[::3] = True
+        index.drop(used)
+
+
+def test_neighbours_in_order_of_rank_equal_brute_force():
+    rng = random.Random(12)
+    for _ in range(300):
+        n = rng.randint(1, 40)
+        score = np.array([rng.choice([0, 1.5, 2, 2, 3, rng.random()]) for _ in range(n)])
+        sizes = np.array([rng.randint(1, 30) for _ in range(n)])
+        near, room = retrieval_packing.Near(score, sizes, sizes.tolist(), rng.choice([1, 2, 5])), 60
+        left = sorted((x for x in range(n) if score[x]), key=lambda x: (-score[x], x))
+        while True:
+            fit = [x for x in left if sizes[x] <= room]
+            got = near.take(room)
+            assert got == (fit[0] if fit else left[0] if left else None)
+            if not fit:
+                break
+            left.remove(got)
+            room -= int(sizes[got])
+
+
 def test_frequencies_are_of_the_corpus(spark, docs):
     path = files.path("byte_bpe_50k.json")
     spec = spark.sparkContext.broadcast(open(path, encoding="utf-8").read())

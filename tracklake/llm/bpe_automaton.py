@@ -9,7 +9,8 @@ all gadgets, a token sequence is a path exactly when BPE itself would produce
 it. The transition table is filled on demand: an entry replays only the gadgets
 that touch its two tokens, so the table never holds the square of the vocabulary.
 
-A pre-split word has one path through the automaton. It is walked left to right,
+A batch's different words are encoded once; what they become is dealt out to their
+places as columns. A pre-split word has one path through the automaton. It is walked left to right,
 longest arc first; a position that turns out dead is never entered again, so the
 walk is linear in the word. Decoding emits the arcs' labels.
 
@@ -26,6 +27,9 @@ import json
 import unicodedata
 from functools import lru_cache
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 
@@ -202,6 +206,32 @@ class WordCodec:
                 labels += [x[1] for x in got]
         return " ".join(ids), " ".join(labels)
 
+    def encode_column(self, texts: pa.Array) -> tuple[np.ndarray, pa.Array, pa.Array]:
+        """Of every text of a string column the number of tokens, decimal ids and arc labels, as ``encode`` gives them."""
+        texts = pc.fill_null(texts, "")
+        words = pc.ascii_split_whitespace(texts)
+        coded = words.flatten().dictionary_encode()
+        known, new = self.known, self._word
+        got = [known.get(w) or new(w) for w in coded.dictionary.to_pylist()]
+        count = np.array([ids.count(" ") + 1 if ids else 0 for ids, _ in got], dtype=np.int64)
+        code = coded.indices.to_numpy()
+        kept = code[count[code] > 0]  # nothing is left of a word of white space beyond ASCII, nor of what is around the text
+        ends = np.concatenate(([0], np.cumsum(count[code] > 0)))[np.concatenate(([0], np.cumsum(words.value_lengths().to_numpy())))]
+        total = np.concatenate(([0], np.cumsum(count[kept])))[ends]
+        at, offsets = pa.array(kept), pa.array(ends.astype(np.int32))
+        ids, labels = (pc.binary_join(pa.ListArray.from_arrays(offsets, pa.array(x, pa.string()).take(at)), " ") for x in (zip(*got) if got else ((), ())))
+        numbers = np.diff(total)
+        odd = np.zeros(len(texts), dtype=bool)
+        for t in self.added:
+            odd |= pc.match_substring(texts, t).to_numpy(zero_copy_only=False)
+        if odd.any():
+            ids, labels = ids.to_pylist(), labels.to_pylist()
+            for i in np.flatnonzero(odd).tolist():
+                ids[i], labels[i] = self.encode(texts[i].as_py())
+                numbers[i] = ids[i].count(" ") + 1 if ids[i] else 0
+            ids, labels = pa.array(ids, pa.string()), pa.array(labels, pa.string())
+        return numbers, ids, labels
+
     def decode(self, ids: list[int]) -> str:
         """Labels of the arcs; the file has no decoder, so they are joined by spaces."""
         return " ".join([self.labels[i] for i in ids])
@@ -223,13 +253,12 @@ def bpe_digests(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", te
     def make():
         c = codec(spec.value)
 
-        def digests(text):
-            ids, labels = c.encode(text)
-            return ids.count(" ") + 1 if ids else 0, hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(labels.encode()).hexdigest()
+        def digests(strings):
+            return [hashlib.sha256(x).hexdigest() for x in strings.cast(pa.binary()).to_pylist()]
 
         def step(batch):
-            n, a, b = zip(*map(digests, batch.column("text").to_pylist()))
-            return {"doc_id": batch.column("doc_id"), "n_tokens": list(n), "ids_sha256": list(a), "decoded_sha256": list(b)}
+            n, ids, labels = c.encode_column(batch.column("text"))
+            return {"doc_id": batch.column("doc_id"), "n_tokens": n, "ids_sha256": digests(ids), "decoded_sha256": digests(labels)}
 
         return step
 
@@ -243,6 +272,6 @@ def encode_column(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id",
 
     def make():
         c = codec(spec.value)
-        return lambda b: {"doc_id": b.column("doc_id"), "ids": [[int(i) for i in c.encode(t)[0].split()] for t in b.column("text").to_pylist()]}
+        return lambda b: {"doc_id": b.column("doc_id"), "ids": [[int(i) for i in x.split()] for x in c.encode_column(b.column("text"))[1].to_pylist()]}
 
     return map_rows(texts(docs, id_col, text_col), make, "doc_id long, ids array<int>")
