@@ -372,6 +372,10 @@ def test_server_chart_and_exports(spark, tmp_path):
 def test_merging_files_and_dictionaries(spark, tmp_path):
     a, b = (api.TrackBuilder(spark).add_chroms([("c", 4)]).write_np_array("c", 0, np.array(x)).build() for x in ([1, 1, 2, 0], [0, 3, 3, 3]))
     both = create.merge_files({"x": a, "y": b})
+    assert both.matrix("c").tolist() == [[1, 1, 2, 0], [0, 3, 3, 3]] and [m.tolist() for m in both.matrix([("c", 0, 2), ("c", 3, 4)])] == [[[1, 1], [0, 3]], [[0], [3]]]
+    assert [tuple(r)[1:] for r in a.partitions(9).collect()] == [("c", 0, 4)]
+    bits = api.TrackBuilder(spark).like(a).named("bits").generate_index().write_bits("c", 1, [True, False, 7]).build()
+    assert bits.list_tracks() == ["bits"] and bits["c"].tolist() == [0, 1, 0, 1] and bits.track.index.count() == 1
     assert both.list_tracks() == ["x", "y"] and both.open_track("y")["c"].tolist() == [0, 3, 3, 3]
     with pytest.raises(ValueError):
         create.merge_files({"x": a, "z": api.TrackBuilder(spark).add_chroms([("c", 5)]).build()})

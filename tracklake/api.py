@@ -131,6 +131,20 @@ class TrackFile:
             out.append(a if self.denominator == 1.0 else a / self.denominator)
         return out[0] if len(out) == 1 and isinstance(spec, str) else out
 
+    def matrix(self, spec):
+        """Arrays of all tracks over each region, one row a track in the order of their names."""
+        import numpy as np
+
+        parts = [t.to_numpy(spec) for t in self.open_all()]
+        return np.stack(parts) if isinstance(parts[0], np.ndarray) else [np.stack(rows) for rows in zip(*parts)]
+
+    def partitions(self, limit: int) -> DataFrame:
+        """Regions of at most ``limit`` positions (rounded down to a multiple of eight), none across chromosomes, that cover the genome."""
+        step = max(8, limit // 8 * 8)
+        parts = self.track.genome.where("size > 0").withColumn("begin", F.explode(F.sequence(F.lit(0).cast("long"), F.col("size") - 1, F.lit(step).cast("long"))))
+        end = F.least(F.col("begin") + step, "size")
+        return parts.select((F.col("chrom_id").cast("long") * (1 << 40) + F.col("begin")).alias("region_id"), "chrom", "begin", end.alias("end"))
+
     def __getitem__(self, key):
         return self.to_numpy(key)
 
@@ -241,7 +255,7 @@ class TrackBuilder:
     """Collects a genome and values, then makes a track."""
 
     def __init__(self, spark: SparkSession):
-        self.spark, self.sizes, self.denominator, self.parts, self.name, self.keep = spark, [], 1.0, [], DEFAULT_TRACK, None
+        self.spark, self.sizes, self.denominator, self.parts, self.name, self.keep, self.indexed = spark, [], 1.0, [], DEFAULT_TRACK, None, False
 
     def add_chroms(self, chroms: list[tuple[str, int]]) -> TrackBuilder:
         self.sizes += chroms
@@ -259,6 +273,20 @@ class TrackBuilder:
         self.denominator = denominator
         return self
 
+    def named(self, name: str) -> TrackBuilder:
+        self.name = name
+        return self
+
+    def generate_index(self) -> TrackBuilder:
+        self.indexed = True
+        return self
+
+    def write_bits(self, chrom: str, pos: int, data) -> TrackBuilder:
+        """An array of truth values, stored as 0 and 1."""
+        import numpy as np
+
+        return self.write_np_array(chrom, pos, np.asarray(data).astype(bool).astype(np.int32))
+
     def write_intervals(self, runs: DataFrame) -> TrackBuilder:
         self.parts.append(runs.select("chrom", F.col("begin").cast("long"), F.col("end").cast("long"), F.col("value").cast("double").alias("value")))
         return self
@@ -282,4 +310,5 @@ class TrackBuilder:
             runs = runs.unionByName(p)
         runs = runs.join(genome.select("chrom"), "chrom", "left_semi").withColumn("value", numeric.to_stored(F.col("value"), self.denominator))
         full = intervals.merge_runs(intervals.fill_gaps(runs, genome), ["chrom"], ["value"])
-        return TrackFile(Track(full.select(F.lit(self.name).alias("track"), "chrom", "begin", "end", "value"), genome, self.denominator))
+        made = TrackFile(Track(full.select(F.lit(self.name).alias("track"), "chrom", "begin", "end", "value"), genome, self.denominator))
+        return made.with_index() if self.indexed else made

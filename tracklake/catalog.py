@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tracklake import serve
 from tracklake.api import TrackFile
 from tracklake.functions import alignment as reads
-from tracklake.functions import numeric, regions
+from tracklake.functions import numeric, regions, tables
 from tracklake.model import Track
 from tracklake.operators import index, intervals, resample, stats
 from tracklake.plans import signals as s
@@ -460,6 +460,18 @@ def seek_from_position(spark, sf):
     return _file(spark, sf).from_position("R", 777)
 
 
+@query(s.GENOME_SQL, body="SELECT chrom, CAST(b AS BIGINT) AS \"begin\", CAST(least(b + 696, size) AS BIGINT) AS \"end\" FROM (SELECT chrom, size, unnest(range(0, size, 696)) AS b FROM genome)")
+def scan_partitions(spark, sf):
+    return _file(spark, sf).partitions(700).drop("region_id")
+
+
+@query(s.BASE_SQL, body="SELECT chrom, CAST(unnest(range(b, e)) AS BIGINT) AS pos, v AS value FROM runs WHERE v > 60")
+def positions_by_table_function(spark, sf):
+    tables.register(spark)
+    s.runs(spark, sf).where("value > 60").createOrReplaceTempView("runs_above_60")
+    return spark.sql("SELECT r.chrom, p.pos, p.value FROM runs_above_60 r, LATERAL positions(r.begin, r.end, r.value) p")
+
+
 @query(s.BASE_SQL, "pt AS (SELECT chrom, CAST(unnest(range(-3, 3000, 37)) AS BIGINT) AS pos FROM genome)", "hi AS (SELECT * FROM runs WHERE v > 40)", body='SELECT chrom, pos, CAST(h.b AS BIGINT) AS "begin", CAST(h.e AS BIGINT) AS "end", h.v AS value FROM pt ASOF LEFT JOIN hi h USING (chrom) WHERE false UNION ALL SELECT pt.chrom, pt.pos, m.b, m.e, m.v FROM pt LEFT JOIN LATERAL (SELECT b, e, v FROM hi WHERE hi.chrom = pt.chrom AND hi.b <= pt.pos ORDER BY b DESC LIMIT 1) m ON true')
 def as_of_run(spark, sf):
     points = s.genome(spark).select("chrom", F.explode(F.sequence(F.lit(-3).cast("long"), F.lit(2999).cast("long"), F.lit(37).cast("long"))).alias("pos"))
