@@ -1,6 +1,7 @@
 """Interval operators against position-by-position computation, with tiles so small that borders matter."""
 
 import random
+import re
 
 import numpy as np
 import pytest
@@ -63,6 +64,20 @@ def test_pileup_of_no_reads_is_zero(spark, genome):
     assert got == [("x", 0, 97, 0), ("y", 0, 64, 0), ("z", 0, 30, 0)]
 
 
+def by_chromosome(df):
+    """Joins whose rows are dealt out and sorted by chromosome alone."""
+    return re.findall(r"SortMergeJoin \[chrom#\d+\]", df._jdf.queryExecution().executedPlan().toString())
+
+
+@pytest.mark.parametrize("keys", [("chrom",), ("track", "chrom")])
+def test_pileup_deals_no_reads_by_chromosome(spark, genome, keys):
+    """A chromosome's reads would all be sorted in one task; positions alone are shuffled."""
+    reads = spark.range(500_000).selectExpr("if(id % 2 = 0, 'a', 'b') AS track", "if(id >= 0, 'x', 'y') AS chrom", "id % 90 AS begin", "id % 90 + 5 AS end")
+    got = intervals.pileup(reads, genome, keys, tile=16)
+    assert not by_chromosome(got)
+    assert got.where("chrom = 'x'").selectExpr("sum(value * (end - begin))").first()[0] == 2_500_000
+
+
 @pytest.mark.parametrize("tile", [8, 1000])
 def test_merging_chopped_runs(spark, tile):
     rows = signal(2)

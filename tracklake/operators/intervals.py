@@ -107,9 +107,10 @@ def pileup(reads: DataFrame, genome: DataFrame, keys: tuple[str, ...] = ("chrom"
     An event sweep per tile: +1 and -1 are summed per position before they are
     shuffled, and every tile has events of 0 at its borders, so it needs no other
     tile and is covered even without reads. Reads are clipped to their chromosomes.
+    The genome is broadcast, for a join by chromosome would bring all reads of one to one task.
     """
     keys = list(keys)
-    inside = reads.join(genome.select("chrom", "size"), "chrom").select(*keys, F.greatest("begin", F.lit(0)).cast("long").alias("begin"), F.least("end", "size").cast("long").alias("end")).where("`begin` < `end`")
+    inside = reads.join(F.broadcast(genome.select("chrom", "size")), "chrom").select(*keys, F.greatest("begin", F.lit(0)).cast("long").alias("begin"), F.least("end", "size").cast("long").alias("end")).where("`begin` < `end`")
     pieces = cut_at_tiles(inside, tile)
     event = lambda pos, d, edge: F.struct(F.col(pos).alias("pos"), F.lit(d).alias("d"), F.lit(edge).alias("edge"))
     events = pieces.select(*keys, "_tile", F.explode(F.array(event("begin", 1, False), event("end", -1, False))).alias("e"))
