@@ -78,6 +78,17 @@ def test_pileup_deals_no_reads_by_chromosome(spark, genome, keys):
     assert got.where("chrom = 'x'").selectExpr("sum(value * (end - begin))").first()[0] == 2_500_000
 
 
+def test_tracks_meet_their_genome_without_a_shuffle(spark, genome):
+    from tracklake.api import TrackFile
+    from tracklake.create import scaled
+
+    runs = spark.range(1_000_000).selectExpr("if(id >= 0, 'x', 'y') AS chrom", "id AS begin", "id + 1 AS end", "1.0D AS value")
+    track = Track(runs.selectExpr("'t' AS track", "chrom", "begin", "end", "cast(value AS int) AS value"), genome)
+    assert not by_chromosome(scaled(runs, genome, 1.0).track.runs)
+    assert not by_chromosome(faults(track))
+    assert not by_chromosome(TrackFile(track).view("x"))
+
+
 @pytest.mark.parametrize("tile", [8, 1000])
 def test_merging_chopped_runs(spark, tile):
     rows = signal(2)

@@ -18,7 +18,7 @@ from tracklake.sources.files import qualified, sized
 
 def scaled(runs: DataFrame, genome: DataFrame, denominator: float, name: str = DEFAULT_TRACK) -> TrackFile:
     """Real values as stored integers over the whole genome; gaps are 0."""
-    kept = runs.join(genome.select("chrom"), "chrom", "left_semi").withColumn("value", numeric.to_stored(F.col("value"), denominator))
+    kept = runs.join(F.broadcast(genome.select("chrom")), "chrom", "left_semi").withColumn("value", numeric.to_stored(F.col("value"), denominator))
     full = merge_runs(fill_gaps(kept, genome), ["chrom"], ["value"])
     return TrackFile(Track(full.select(F.lit(name).alias("track"), "chrom", "begin", "end", "value"), genome, denominator))
 

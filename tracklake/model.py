@@ -55,7 +55,7 @@ def faults(track: Track) -> DataFrame:
     """Rows that break the model: ``(track, chrom, begin, end, fault)``; none for a sound track."""
     from tracklake.operators.intervals import shifted
 
-    runs = track.runs.join(track.genome.select("chrom", "size"), "chrom", "left")
+    runs = track.runs.join(F.broadcast(track.genome.select("chrom", "size")), "chrom", "left")
     seen = shifted(runs, ["track", "chrom"], "begin", ["end"], track.tile).withColumn("before", F.col("near.end"))
     fault = (
         F.when(F.col("size").isNull(), "chromosome is not in the genome")

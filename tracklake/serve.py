@@ -100,5 +100,5 @@ def index_lines(file: TrackFile):
     """The sum index as text rows ``(chrom, begin, end, Sum(x))`` in the genome's order."""
     if file.track.index is None:
         raise ValueError("the track has no index")
-    i = file.track.index.join(file.track.genome.select("chrom", "chrom_id"), "chrom")
+    i = file.track.index.join(F.broadcast(file.track.genome.select("chrom", "chrom_id")), "chrom")
     return i.orderBy("chrom_id", "begin").select("chrom", "begin", "end", F.format_string("Sum(%.5f)", "sum").alias("sum"))
