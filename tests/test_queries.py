@@ -1,6 +1,7 @@
 """Every query with SQL gives DuckDB's rows on the smallest tables."""
 
 import os
+import re
 
 import pytest
 
@@ -47,3 +48,24 @@ def test_entry_module():
     import __spark_entry__ as e
 
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def by_few_values(df):
+    """Joins whose rows are dealt out and sorted by a key that a genome has few values of."""
+    return re.findall(r"SortMergeJoin \[(?:chrom|track)#\d+\]", df._jdf.queryExecution().executedPlan().toString())
+
+
+#: Queries on depth that no other test of plans names.
+DEPTH = ["denovo_windows"]
+
+
+@pytest.mark.parametrize("query", DEPTH)
+def test_reads_are_not_joined_by_chromosome(spark, monkeypatch, query):
+    """A chromosome's rows would all be sorted in one task."""
+    from tracklake import catalog
+    from tracklake.sources import text
+
+    plans, write = [], text.write_bedgraph
+    monkeypatch.setattr(text, "write_bedgraph", lambda runs, *a, **k: (plans.append(runs), write(runs, *a, **k)))
+    plans.append(catalog.QUERIES[query](spark, SF))
+    assert not [j for df in plans for j in by_few_values(df)]

@@ -50,12 +50,15 @@ def server_bins(regions: DataFrame, runs: DataFrame, most: int = 1000, bin_width
 
 
 def deletion_windows(regions: DataFrame, runs: DataFrame, child: str, parents: list[str], width: int, near: float = 0.2, low: float = 0.2, bin_width: int = TILE) -> DataFrame:
-    """Per region, how many bins have the child's depth below ``low`` of its chromosome's mean while both parents' are within ``near`` of theirs."""
+    """Per region, how many bins have the child's depth below ``low`` of its chromosome's mean while both parents' are within ``near`` of theirs.
+
+    The chromosomes' means, a row each, are broadcast, so no task gets all bins of one.
+    """
     tracks = [child, *parents]
     w = F.col("end") - F.col("begin")
     usual = runs.groupBy("chrom").agg(*[(F.sum(F.when(F.col("track") == t, F.col("value") * w)) / F.sum(F.when(F.col("track") == t, w))).alias(f"usual_{i}") for i, t in enumerate(tracks)])
     bins = tumbling(regions, width)
-    means = by_track(bins, runs, tracks, "mean", bin_width).join(usual, "chrom", "left").join(bins.select("region_id", "source_id"), "region_id")
+    means = by_track(bins, runs, tracks, "mean", bin_width).join(F.broadcast(usual), "chrom", "left").join(bins.select("region_id", "source_id"), "region_id")
     ratio = [F.col(t) / F.col(f"usual_{i}") for i, t in enumerate(tracks)]
     hit = ratio[0] < low
     for r in ratio[1:]:
