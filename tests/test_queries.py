@@ -56,7 +56,7 @@ def by_few_values(df):
 
 
 #: Queries on depth that no other test of plans names.
-DEPTH = ["denovo_windows", "first_track"]
+DEPTH = ["denovo_windows", "first_track", "matrix_resample"]
 
 
 @pytest.mark.parametrize("query", DEPTH)
