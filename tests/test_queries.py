@@ -56,7 +56,7 @@ def by_few_values(df):
 
 
 #: Queries on depth that no other test of plans names.
-DEPTH = ["denovo_windows", "first_track", "matrix_resample", "multitrack_mean_pivot", "auto_dict_bits"]
+DEPTH = ["denovo_windows", "first_track", "matrix_resample", "multitrack_mean_pivot", "auto_dict_bits", "bedgraph_sink"]
 
 
 @pytest.mark.parametrize("query", DEPTH)
