@@ -56,7 +56,7 @@ def by_few_values(df):
 
 
 #: Queries on depth that no other test of plans names.
-DEPTH = ["denovo_windows", "first_track", "matrix_resample", "multitrack_mean_pivot", "auto_dict_bits", "bedgraph_sink", "dict_cost_curve", "enumerate_values", "hist_global", "hist_mean_std", "hist_region_below_above", "islands_high"]
+DEPTH = ["denovo_windows", "first_track", "matrix_resample", "multitrack_mean_pivot", "auto_dict_bits", "bedgraph_sink", "dict_cost_curve", "enumerate_values", "hist_global", "hist_mean_std", "hist_region_below_above", "islands_high", "islands_high_mean"]
 
 
 @pytest.mark.parametrize("query", DEPTH)
